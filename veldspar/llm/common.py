@@ -26,7 +26,13 @@ def store(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: this cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, None)
+    spark.conf.set(clean, "true")  # what is written is not shuffled again: the job's shuffle files can go when it ends
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(clean) if before is None else spark.conf.set(clean, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -17,7 +17,6 @@ pair by document); its back-off weight is put together from those partitions' su
 
 from __future__ import annotations
 
-import gc
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -343,12 +342,6 @@ def _routes(docs: DataFrame, parts: int, sample: int = 1000) -> Routes:
     return Routes(parts, *hot(words), *hot(pairs))
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle files of finished jobs now, not when the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def score(docs: DataFrame, modulus: int = 5, held: int = 1, parts: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
@@ -362,8 +355,6 @@ def score(docs: DataFrame, modulus: int = 5, held: int = 1, parts: int | None =
     routes = _routes(rows, parts)
     pairs = rows.mapInArrow(_pairs_out(routes), "b int, blob binary").repartition(parts, "b").sortWithinPartitions("b")
     asked = store(pairs.mapInArrow(_ask(routes), _ASK), "asked")
-    del pairs
-    _release(spark)
     pair_n, hot_pairs = np.zeros(TOP + 3, np.int64), {}
     for r in asked.where("kind = 1").select("words", "counts", "n").toLocalIterator():
         pair_n += np.array(r["n"])
@@ -385,8 +376,6 @@ def score(docs: DataFrame, modulus: int = 5, held: int = 1, parts: int | None =
     tokens = rows.mapInArrow(_tokens_out(routes), "b int, kind byte, blob binary, more binary, base long")
     both = answers.unionByName(tokens).repartition(parts, "b").sortWithinPartitions("b", "kind")
     found = store(both.mapInArrow(_evaluate(routes, scale), _SUMS), "sums")
-    del both, tokens
-    _release(spark)
     weights = found.where("kind = 2").groupBy("hot").agg(F.sum("base").alias("m"), F.sum("score").alias("w")).collect()  # a row for each hot history
     logs = [(int(r["hot"]), float(np.log10(max(1 - r["m"], 1e-300) / max(1 - r["w"], 1e-300)))) for r in weights]
     hot = spark.createDataFrame(logs, "hot long, log_back double")
