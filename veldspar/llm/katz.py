@@ -258,6 +258,57 @@ class Scale:
 _SUMS = "kind byte, row long, doc_id long, n_tokens long, n_known long, base double, score double, hot long, amount double"
 
 
+def _turn(routes: Routes, scale: Scale, b: int, blobs: list, turn: int, turns: int, names_w: np.ndarray, counts_w: np.ndarray) -> Iterator[tuple[int, object]]:
+    """One turn's histories of partition ``b``: (0, sums by document), (2, hot histories' masses), (3, documents' unseen pairs of those)."""
+    hs, ws, marks, rows = [], [], [], []
+    for blob, base in blobs:
+        names, runs, words, index, mark = _take(blob)
+        mine = (names >> np.uint64(33)) % np.uint64(turns) == np.uint64(turn)
+        if mine.any():
+            chosen = np.repeat(mine, runs)
+            mark = mark[chosen].astype(np.int64)
+            hs.append(np.repeat(names[mine], runs[mine])), ws.append(words[index[chosen]]), marks.append((mark & 1).astype(np.int8)), rows.append((mark >> 1) + base)
+    if not hs:
+        return
+    h, w, train, row = (np.concatenate(x) for x in (hs, ws, marks, rows))
+    del hs, ws, marks, rows
+    key, first, inverse = np.unique(_mix(h, w), return_index=True, return_inverse=True)
+    pair_h, pair_w = h[first], w[first]
+    pair_c = np.bincount(inverse, train, len(key)).astype(np.int64)
+    del h, w, train, first
+    at, split = find(scale.pairs, key)
+    pair_c[split] = scale.pair_counts[at[split]]
+    at, there = find(names_w, pair_w)
+    word_c = np.where(there, counts_w[at], 0)
+    low = scale.unigram(word_c)
+    hist, of_h = np.unique(pair_h, return_inverse=True)
+    seen = pair_c > 0
+    hot_at, hot = find(routes.hot, hist)
+    # a hot pair that was split by document counts once, in the partition where row 0 would go
+    once = np.ones(len(key), bool)
+    if split.any():
+        here = routes.of(pair_h[split], pair_w[split], key[split], np.zeros(int(split.sum()), np.int64))
+        once[split] = here == np.uint64(b)
+    c_h = np.bincount(of_h, pair_c, len(hist))
+    at, there = find(names_w, hist)
+    c_h = np.where(hot & there, counts_w[at], c_h)
+    c_h = np.where(hist == START, scale.starts, c_h)
+    held = np.where(seen, discounted(pair_c, scale.pair_d), 0.0)
+    mass = np.bincount(of_h, np.where(once, held, 0.0), len(hist)) / (c_h + 1)
+    words = np.bincount(of_h, np.where(seen & once, low, 0.0), len(hist))
+    back = np.where(c_h > 0, (1 - mass) / np.maximum(1 - words, 1e-300), 1.0)
+    log_back = np.where(hot, 0.0, np.log10(np.maximum(back, 1e-300)))
+    logp = np.where(seen, np.log10(np.maximum(held, 1e-300) / (c_h[of_h] + 1)), log_back[of_h] + np.log10(low))
+    base = np.log10((word_c + 0.5) / (scale.tokens + 0.5 * (scale.distinct + 1)))
+    docs, of_doc = np.unique(row, return_inverse=True)
+    yield 0, (docs, *(np.bincount(of_doc, x[inverse], len(docs)) for x in (word_c > 0, base, logp)))
+    if hot.any():
+        yield 2, {"hot": hot_at[hot], "base": mass[hot], "score": words[hot], "amount": c_h[hot].astype(float)}
+        late = (hot[of_h] & ~seen)[inverse]
+        both, n = np.unique(np.stack([of_doc[late], hot_at[of_h][inverse][late]]), axis=1, return_counts=True)
+        yield 3, {"row": docs[both[0]], "hot": both[1], "amount": n.astype(float)}
+
+
 def _evaluate(routes: Routes, scale: Scale):
     """Sums for documents (kind 0), documents (1), a hot history's pair mass and word mass (2), a document's unseen pairs of one (3)."""
     names = [x.split()[0] for x in _SUMS.split(", ")]
@@ -273,54 +324,24 @@ def _evaluate(routes: Routes, scale: Scale):
                 if r[1] == 2:
                     row, ids, null, n = _take(r[2])
                     yield batch(1, len(row), row=row, doc_id=pa.array(ids, pa.int64(), mask=null.astype(bool)), n_tokens=n)
-            parts = [(_take(r[2]), r[4]) for r in rows if r[1] == 1]
-            if not parts:
-                continue
+            blobs = [(r[2], r[4]) for r in rows if r[1] == 1]
             known = [(_take(r[2])[0], _take(r[3])[0]) for r in rows if r[1] == 0]
-            del rows
+            if not blobs:
+                continue
             names_w, counts_w = np.concatenate([k[0] for k in known]), np.concatenate([k[1] for k in known])
             order = np.argsort(names_w, kind="stable")
-            names_w, counts_w = names_w[order], counts_w[order]
-            h = np.concatenate([np.repeat(p[0], p[1]) for p, _ in parts])
-            w = np.concatenate([p[2][p[3]] for p, _ in parts])
-            mark = np.concatenate([p[4] for p, _ in parts]).astype(np.int64)
-            row = (mark >> 1) + np.repeat([base for _, base in parts], [len(p[4]) for p, _ in parts])
-            del parts, known
-            key, first, inverse = np.unique(_mix(h, w), return_index=True, return_inverse=True)
-            pair_h, pair_w = h[first], w[first]
-            pair_c = np.bincount(inverse, mark & 1, len(key)).astype(np.int64)
-            at, split = find(scale.pairs, key)
-            pair_c[split] = scale.pair_counts[at[split]]
-            del h, w, mark
-            at, there = find(names_w, pair_w)
-            word_c = np.where(there, counts_w[at], 0)
-            low = scale.unigram(word_c)
-            hist, of_h = np.unique(pair_h, return_inverse=True)
-            seen = pair_c > 0
-            hot_at, hot = find(routes.hot, hist)
-            c_h = np.bincount(of_h, pair_c, len(hist))
-            at, there = find(names_w, hist)
-            c_h = np.where(hot & there, counts_w[at], c_h)
-            c_h = np.where(hist == START, scale.starts, c_h)
-            held = np.where(seen, discounted(pair_c, scale.pair_d), 0.0)
-            # a hot pair that was split by document counts once, in the partition where row 0 would go
-            once = np.ones(len(key), bool)
-            if split.any():
-                here = routes.of(pair_h[split], pair_w[split], key[split], np.zeros(int(split.sum()), np.int64))
-                once[split] = here == np.uint64(b)
-            mass = np.bincount(of_h, np.where(once, held, 0.0), len(hist)) / (c_h + 1)
-            words = np.bincount(of_h, np.where(seen & once, low, 0.0), len(hist))
-            back = np.where(c_h > 0, (1 - mass) / np.maximum(1 - words, 1e-300), 1.0)
-            log_back = np.where(hot, 0.0, np.log10(np.maximum(back, 1e-300)))
-            logp = np.where(seen, np.log10(np.maximum(held, 1e-300) / (c_h[of_h] + 1)), log_back[of_h] + np.log10(low))
-            base = np.log10((word_c + 0.5) / (scale.tokens + 0.5 * (scale.distinct + 1)))
-            docs, of_doc = np.unique(row, return_inverse=True)
-            yield batch(0, len(docs), row=docs, n_known=np.bincount(of_doc, (word_c > 0)[inverse], len(docs)).astype(np.int64), base=np.bincount(of_doc, base[inverse], len(docs)), score=np.bincount(of_doc, logp[inverse], len(docs)))
-            if hot.any():
-                yield batch(2, int(hot.sum()), hot=hot_at[hot], base=mass[hot], score=words[hot], amount=c_h[hot])
-                late = (hot[of_h] & ~seen)[inverse]
-                both, n = np.unique(np.stack([of_doc[late], hot_at[of_h][inverse][late]]), axis=1, return_counts=True)
-                yield batch(3, len(n), row=docs[both[0]], hot=both[1], amount=n.astype(float))
+            names_w, counts_w = names_w[order], counts_w[order].astype(np.int32 if scale.tokens < 2**31 else np.int64)
+            del rows, known, order
+            turns, found = 1 + sum(len(x[0]) for x in blobs) // 5_000_000, []
+            for turn in range(turns):  # some histories at a time, for bounded memory
+                for kind, out in _turn(routes, scale, b, blobs, turn, turns, names_w, counts_w):
+                    if kind:
+                        yield batch(kind, len(out["hot"]), **out)
+                    else:
+                        found.append(out)
+            docs, of_doc = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+            sums = [np.bincount(of_doc, np.concatenate([f[i] for f in found]), len(docs)) for i in (1, 2, 3)]
+            yield batch(0, len(docs), row=docs, n_known=sums[0].astype(np.int64), base=sums[1], score=sums[2])
 
     return run
 
