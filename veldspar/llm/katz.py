@@ -30,7 +30,7 @@ from veldspar.llm.common import WordHash, lower_words, remainder, slices, store,
 
 START, END = 1, 2
 TOP = 5
-TOKENS = 1_000_000
+TOKENS = 600_000
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -255,34 +255,41 @@ class Scale:
         return np.where(c > 0, discounted(c, self.word_d) / (self.tokens + 1), self.unknown)
 
 
-_SUMS = "kind byte, row long, doc_id long, n_tokens long, n_known long, base double, score double, hot long, amount double"
+_SUMS = "kind byte, d int, blob binary, hot long, mass double, words double"
 
 
-def _turn(routes: Routes, scale: Scale, b: int, blobs: list, turn: int, turns: int, names_w: np.ndarray, counts_w: np.ndarray) -> Iterator[tuple[int, object]]:
-    """One turn's histories of partition ``b``: (0, sums by document), (2, hot histories' masses), (3, documents' unseen pairs of those)."""
-    hs, ws, marks, rows = [], [], [], []
-    for blob, base in blobs:
+def _by_document(parts: int, row: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Columns by ranges of 1,024 rows dealt over the partitions."""
+    to = _mix(row.astype(np.uint64) >> np.uint64(10), np.zeros(len(row), np.uint64)) % np.uint64(parts)
+    order, found = _runs(to, row)
+    for d, s in found:
+        yield d, _put(row[order[s]], *(c[order[s]] for c in columns))
+
+
+def _model(routes: Routes, scale: Scale, b: int, tokens: list, answers: list) -> dict[str, np.ndarray]:
+    """The part of the model that partition ``b`` holds: by pair (sorted keys) its log probability, and its word's; hot histories' masses.
+
+    A hot history's back-off weight is left out of ``logp`` (``late``: its place among the hot ones, else -1).
+    """
+    found = []
+    for blob, _ in tokens:
         names, runs, words, index, mark = _take(blob)
-        mine = (names >> np.uint64(33)) % np.uint64(turns) == np.uint64(turn)
-        if mine.any():
-            chosen = np.repeat(mine, runs)
-            mark = mark[chosen].astype(np.int64)
-            hs.append(np.repeat(names[mine], runs[mine])), ws.append(words[index[chosen]]), marks.append((mark & 1).astype(np.int8)), rows.append((mark >> 1) + base)
-    if not hs:
-        return
-    h, w, train, row = (np.concatenate(x) for x in (hs, ws, marks, rows))
-    del hs, ws, marks, rows
-    key, first, inverse = np.unique(_mix(h, w), return_index=True, return_inverse=True)
-    pair_h, pair_w = h[first], w[first]
-    pair_c = np.bincount(inverse, train, len(key)).astype(np.int64)
-    del h, w, train, first
+        h, w = np.repeat(names, runs), words[index]
+        key, first, inverse = np.unique(_mix(h, w), return_index=True, return_inverse=True)
+        found.append((key, h[first], w[first], np.bincount(inverse, mark & np.uint64(1), len(key)).astype(np.int64)))
+    key, first, inverse = np.unique(np.concatenate([f[0] for f in found]), return_index=True, return_inverse=True)
+    pair_h, pair_w = (np.concatenate([f[i] for f in found])[first] for i in (1, 2))
+    pair_c = np.bincount(inverse, np.concatenate([f[3] for f in found]), len(key)).astype(np.int64)
+    del found, first, inverse
     at, split = find(scale.pairs, key)
     pair_c[split] = scale.pair_counts[at[split]]
+    names_w, counts_w = np.concatenate([k[0] for k in answers]), np.concatenate([k[1] for k in answers])
+    order = np.argsort(names_w, kind="stable")
+    names_w, counts_w = names_w[order], counts_w[order]
     at, there = find(names_w, pair_w)
     word_c = np.where(there, counts_w[at], 0)
     low = scale.unigram(word_c)
     hist, of_h = np.unique(pair_h, return_inverse=True)
-    seen = pair_c > 0
     hot_at, hot = find(routes.hot, hist)
     # a hot pair that was split by document counts once, in the partition where row 0 would go
     once = np.ones(len(key), bool)
@@ -293,6 +300,7 @@ def _turn(routes: Routes, scale: Scale, b: int, blobs: list, turn: int, turns: i
     at, there = find(names_w, hist)
     c_h = np.where(hot & there, counts_w[at], c_h)
     c_h = np.where(hist == START, scale.starts, c_h)
+    seen = pair_c > 0
     held = np.where(seen, discounted(pair_c, scale.pair_d), 0.0)
     mass = np.bincount(of_h, np.where(once, held, 0.0), len(hist)) / (c_h + 1)
     words = np.bincount(of_h, np.where(seen & once, low, 0.0), len(hist))
@@ -300,48 +308,67 @@ def _turn(routes: Routes, scale: Scale, b: int, blobs: list, turn: int, turns: i
     log_back = np.where(hot, 0.0, np.log10(np.maximum(back, 1e-300)))
     logp = np.where(seen, np.log10(np.maximum(held, 1e-300) / (c_h[of_h] + 1)), log_back[of_h] + np.log10(low))
     base = np.log10((word_c + 0.5) / (scale.tokens + 0.5 * (scale.distinct + 1)))
-    docs, of_doc = np.unique(row, return_inverse=True)
-    yield 0, (docs, *(np.bincount(of_doc, x[inverse], len(docs)) for x in (word_c > 0, base, logp)))
-    if hot.any():
-        yield 2, {"hot": hot_at[hot], "base": mass[hot], "score": words[hot], "amount": c_h[hot].astype(float)}
-        late = (hot[of_h] & ~seen)[inverse]
-        both, n = np.unique(np.stack([of_doc[late], hot_at[of_h][inverse][late]]), axis=1, return_counts=True)
-        yield 3, {"row": docs[both[0]], "hot": both[1], "amount": n.astype(float)}
+    late = np.where(hot[of_h] & ~seen, hot_at[of_h], -1).astype(np.int32)
+    return {"key": key, "logp": logp, "base": base, "known": word_c > 0, "late": late, "hot": hot_at[hot], "mass": mass[hot], "words": words[hot]}
 
 
 def _evaluate(routes: Routes, scale: Scale):
-    """Sums for documents (kind 0), documents (1), a hot history's pair mass and word mass (2), a document's unseen pairs of one (3)."""
-    names = [x.split()[0] for x in _SUMS.split(", ")]
-    types = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
+    """Blobs for documents: sums (kind 0), documents (1), unseen pairs of hot histories (3); and hot histories' masses (2).
 
-    def batch(kind: int, n: int, **columns: np.ndarray | pa.Array) -> pa.RecordBatch:
-        columns["kind"] = np.full(n, kind, np.int8)
-        return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, types, strict=True)], names=names)
+    Pairs are brought together once for the model; tokens are then looked up a blob at a time.
+    """
+    names = [x.split()[0] for x in _SUMS.split(", ")]
+    types = [pa.int8(), pa.int32(), pa.binary(), pa.int64(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, rows in _groups(batches):
+            out = []
             for r in rows:
                 if r[1] == 2:
                     row, ids, null, n = _take(r[2])
-                    yield batch(1, len(row), row=row, doc_id=pa.array(ids, pa.int64(), mask=null.astype(bool)), n_tokens=n)
-            blobs = [(r[2], r[4]) for r in rows if r[1] == 1]
-            known = [(_take(r[2])[0], _take(r[3])[0]) for r in rows if r[1] == 0]
-            if not blobs:
-                continue
-            names_w, counts_w = np.concatenate([k[0] for k in known]), np.concatenate([k[1] for k in known])
-            order = np.argsort(names_w, kind="stable")
-            names_w, counts_w = names_w[order], counts_w[order].astype(np.int32 if scale.tokens < 2**31 else np.int64)
-            del rows, known, order
-            turns, found = 1 + sum(len(x[0]) for x in blobs) // 5_000_000, []
-            for turn in range(turns):  # some histories at a time, for bounded memory
-                for kind, out in _turn(routes, scale, b, blobs, turn, turns, names_w, counts_w):
-                    if kind:
-                        yield batch(kind, len(out["hot"]), **out)
-                    else:
-                        found.append(out)
-            docs, of_doc = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-            sums = [np.bincount(of_doc, np.concatenate([f[i] for f in found]), len(docs)) for i in (1, 2, 3)]
-            yield batch(0, len(docs), row=docs, n_known=sums[0].astype(np.int64), base=sums[1], score=sums[2])
+                    out += [(1, d, blob, None, None, None) for d, blob in _by_document(routes.parts, row, ids, null, n)]
+            tokens = [(r[2], r[4]) for r in rows if r[1] == 1]
+            answers = [(_take(r[2])[0], _take(r[3])[0]) for r in rows if r[1] == 0]
+            del rows
+            if tokens:
+                model = _model(routes, scale, b, tokens, answers)
+                out += [(2, None, None, *x) for x in zip(model["hot"].tolist(), model["mass"].tolist(), model["words"].tolist(), strict=True)]
+            del answers
+            for blob, base_row in tokens:
+                runs_h, runs, words, index, mark = _take(blob)
+                at = np.searchsorted(model["key"], _mix(np.repeat(runs_h, runs), words[index]))
+                docs, of_doc = np.unique((mark >> np.uint64(1)).astype(np.int64) + base_row, return_inverse=True)
+                sums = [np.bincount(of_doc, model[x][at], len(docs)) for x in ("known", "base", "logp")]
+                out += [(0, d, x, None, None, None) for d, x in _by_document(routes.parts, docs, sums[0].astype(np.int64), sums[1], sums[2])]
+                late = model["late"][at]
+                if (late >= 0).any():
+                    both, n = np.unique(np.stack([of_doc[late >= 0], late[late >= 0]]), axis=1, return_counts=True)
+                    out += [(3, d, x, None, None, None) for d, x in _by_document(routes.parts, docs[both[0]], both[1].astype(np.int64), n)]
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=names)
+
+    return run
+
+
+def _finish(log_back: np.ndarray):
+    """doc_id, n_tokens, n_known, base, score of each document from the blobs of its range (columns d, kind, blob)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _groups(batches):
+            ids = [_take(r[2]) for r in rows if r[1] == 1]
+            row, doc, null, n = (np.concatenate([x[i] for x in ids]) for i in range(4))
+            order = np.argsort(row)
+            row, sums = row[order], np.zeros((3, len(row)))
+            for r in rows:
+                if r[1] == 0:
+                    own, *values = _take(r[2])
+                    at = np.searchsorted(row, own)
+                    for total, v in zip(sums, values, strict=True):
+                        total[at] += v
+                elif r[1] == 3:
+                    own, hot, times = _take(r[2])
+                    np.add.at(sums[2], np.searchsorted(row, own), log_back[hot] * times)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[order], pa.int64(), mask=null[order].astype(bool)), pa.array(n[order]), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -397,13 +424,13 @@ def score(docs: DataFrame, modulus: int = 5, held: int = 1, parts: int | None =
     tokens = rows.mapInArrow(_tokens_out(routes), "b int, kind byte, blob binary, more binary, base long")
     both = answers.unionByName(tokens).repartition(parts, "b").sortWithinPartitions("b", "kind")
     found = store(both.mapInArrow(_evaluate(routes, scale), _SUMS), "sums")
-    weights = found.where("kind = 2").groupBy("hot").agg(F.sum("base").alias("m"), F.sum("score").alias("w")).collect()  # a row for each hot history
-    logs = [(int(r["hot"]), float(np.log10(max(1 - r["m"], 1e-300) / max(1 - r["w"], 1e-300)))) for r in weights]
-    hot = spark.createDataFrame(logs, "hot long, log_back double")
-    late = found.where("kind = 3").join(F.broadcast(hot), "hot").select("row", (F.col("amount") * F.col("log_back")).alias("score"))
-    parts_of = found.where("kind < 2").select("row", "doc_id", "n_tokens", "n_known", "base", "score").unionByName(late, allowMissingColumns=True)
-    total = parts_of.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    return total.select("doc_id", (remainder("doc_id", modulus) == held).alias("held_out"), "n_tokens", F.coalesce("n_known", F.lit(0)).alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    weights = found.where("kind = 2").groupBy("hot").agg(F.sum("mass").alias("m"), F.sum("words").alias("w")).collect()  # a row for each hot history
+    log_back = np.zeros(len(routes.hot))
+    for r in weights:
+        log_back[r["hot"]] = np.log10(max(1 - r["m"], 1e-300) / max(1 - r["w"], 1e-300))
+    ranges = found.where("kind <> 2").select("d", "kind", "blob").repartition(parts, "d").sortWithinPartitions("d", F.xxhash64("blob"))
+    total = ranges.mapInArrow(_finish(log_back), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return total.select("doc_id", (remainder("doc_id", modulus) == held).alias("held_out"), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
