@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldspar.functions import text as T
@@ -23,6 +23,10 @@ def indexed_documents(nodes: DataFrame, field: str) -> int:
     return nodes.where(F.size(T.tokens(F.col(field))) > 0).count()
 
 
+def _count(word: str) -> Column:
+    return F.size(F.filter("_t", lambda t: t == word))
+
+
 def search(nodes: DataFrame, field: str, query: str, limit: int = 10, true_length: bool = False) -> DataFrame:
     """rank, id, type, score and the properties of the ``limit`` best; a token that the query repeats counts again.
 
@@ -36,7 +40,7 @@ def search(nodes: DataFrame, field: str, query: str, limit: int = 10, true_lengt
     found = nodes.select("id", T.tokens(F.col(field)).alias("_t"))
     n = nodes.agg(F.count(F.lit(1)).alias("_n"), F.avg(F.size(T.tokens(F.col(field)))).alias("_a")).first() if true_length else None
     total = n["_n"] if n else nodes.count()
-    tf = found.select("id", F.size("_t").alias("length"), *[F.size(F.filter("_t", lambda t, w=w: t == w)).alias(f"_{i}") for i, w in enumerate(dict.fromkeys(wanted))])
+    tf = found.select("id", F.size("_t").alias("length"), *[_count(w).alias(f"_{i}") for i, w in enumerate(dict.fromkeys(wanted))])
     marks = [(i, wanted.count(w)) for i, w in enumerate(dict.fromkeys(wanted))]
     tf = tf.where(F.greatest(*[F.col(f"_{i}") for i, _ in marks], F.lit(0)) > 0)
     df = tf.agg(*[F.coalesce(F.sum((F.col(f"_{i}") > 0).cast("long")), F.lit(0)).alias(f"_{i}") for i, _ in marks]).first()  # one row

@@ -83,7 +83,7 @@ def components(nodes: DataFrame, edges: DataFrame, kind: str | None = None) -> D
     Least labels travel along edges and jump through labels, so long chains take logarithmically many rounds.
     """
     ids = nodes.select("id").distinct()
-    both = edges.select("src", "dst").where("src <> dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    both = edges.select("src", "dst").where("src <> dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
     both = kept(both.union(both.select("dst", "src")).distinct())
     labels = kept(ids.withColumn("label", F.col("id")))
     while True:
