@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veldspar.llm.blobs import groups, put, runs, take
 from veldspar.llm.common import WordHash, lower_words, remainder, slices, store, table
 
 START, END = 1, 2
@@ -40,27 +41,6 @@ def _mix(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _put(*arrays: np.ndarray) -> bytes:
-    """Columns as one blob: bytes of one significance together, so that small numbers cost what they hold."""
-    out = []
-    for a in arrays:
-        flat = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T)
-        packed = pa.compress(flat.tobytes(), codec="zstd", asbytes=True) if len(a) else b""
-        out.append(a.dtype.char.encode() + len(a).to_bytes(8, "little") + len(packed).to_bytes(8, "little") + packed)
-    return b"".join(out)
-
-
-def _take(blob: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    while at < len(blob):
-        kind, n, size = np.dtype(blob[at : at + 1].decode()), int.from_bytes(blob[at + 1 : at + 9], "little"), int.from_bytes(blob[at + 9 : at + 17], "little")
-        at += 17
-        raw = pa.decompress(blob[at : at + size], n * kind.itemsize, codec="zstd", asbytes=True) if n else b""
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel())
-        at += size
-    return out
-
-
 @dataclass
 class Routes:
     """Partitions of histories: ``hot`` histories (sorted) go to ``spread`` partitions each, hot pairs likewise."""
@@ -132,14 +112,6 @@ def _joined(chunk: list, documents: list) -> tuple:
     return h, w, np.repeat([d[0] for d in documents], n), np.repeat([bool(d[3]) for d in documents], n), documents
 
 
-def _runs(part: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[int, slice]]]:
-    """The order by partition and history, and (partition, slice) of that order."""
-    order = np.lexsort((h, part))
-    edges = np.flatnonzero(np.diff(part[order])) + 1
-    bounds = [0, *edges.tolist(), len(order)] if len(order) else [0]
-    return order, ((int(part[order[a]]), slice(a, b)) for a, b in zip(bounds, bounds[1:], strict=False))
-
-
 def _short(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted histories as values and run lengths."""
     first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
@@ -152,27 +124,13 @@ def _pairs_out(routes: Routes):
             key, first, inverse = np.unique(_mix(h, w), return_index=True, return_inverse=True)
             count = np.bincount(inverse, train, len(key)).astype(np.uint32)
             h, w = h[first], w[first]
-            order, parts = _runs(routes.of(h, w, key), h)
-            rows = [(b, _put(*_short(h[order[s]]), w[order[s]], count[order[s]])) for b, s in parts]
+            order, parts = runs(routes.of(h, w, key), h)
+            rows = [(b, put(*_short(h[order[s]]), w[order[s]], count[order[s]])) for b, s in parts]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["b", "blob"])
 
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows of equal first column together; rows come sorted by it."""
-    now, rows = None, []
-    for batch in batches:
-        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if r[0] != now and rows:
-                yield now, rows
-                rows = []
-            now = r[0]
-            rows.append(r)
-    if rows:
-        yield now, rows
-
-
 _ASK = "kind byte, wb int, b int, words binary, counts binary, n array<long>"
 
 
@@ -182,8 +140,8 @@ def _ask(routes: Routes):
     types = [pa.int8(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, rows in _groups(batches):
-            parts = [_take(r[1]) for r in rows]
+        for b, rows in groups(batches):
+            parts = [take(r[1]) for r in rows]
             h = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
             w, c = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
             del parts
@@ -193,9 +151,9 @@ def _ask(routes: Routes):
             at, hot = find(routes.pairs, key)
             words, inverse = np.unique(np.concatenate([w, routes.hot, np.array([END], np.uint64)]), return_inverse=True)
             count = np.bincount(inverse[: len(w)], c, len(words)).astype(np.uint32)
-            order, to = _runs(words % np.uint64(routes.parts), words)
-            out = [(0, wb, b, _put(words[order[s]]), _put(count[order[s]]), None) for wb, s in to]
-            out.append((1, None, b, _put(routes.pairs[at[hot]]), _put(total[hot]), n.tolist()))
+            order, to = runs(words % np.uint64(routes.parts), words)
+            out = [(0, wb, b, put(words[order[s]]), put(count[order[s]]), None) for wb, s in to]
+            out.append((1, None, b, put(routes.pairs[at[hot]]), put(total[hot]), n.tolist()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     return run
@@ -203,14 +161,14 @@ def _ask(routes: Routes):
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each partition of words (wb, b, words, counts): the summed counts for each one that asked, and counts of counts, N and V."""
-    for _, rows in _groups(batches):
-        asked = [_take(r[2])[0] for r in rows]
+    for _, rows in groups(batches):
+        asked = [take(r[2])[0] for r in rows]
         words, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([_take(r[3])[0] for r in rows]), len(words)).astype(np.int64)
+        total = np.bincount(inverse, np.concatenate([take(r[3])[0] for r in rows]), len(words)).astype(np.int64)
         n = np.bincount(np.minimum(total, TOP + 2), minlength=TOP + 3).tolist()
         ends, out = np.cumsum([len(a) for a in asked]), []
         for r, a, end in zip(rows, asked, ends, strict=True):
-            out.append((r[1], _put(a), _put(total[inverse[end - len(a) : end]]), None))
+            out.append((r[1], put(a), put(total[inverse[end - len(a) : end]]), None))
         out.append((None, None, None, [*n, int(total.sum()), int((total > 0).sum())]))
         types = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["b", "words", "counts", "n"])
@@ -224,15 +182,15 @@ def _tokens_out(routes: Routes):
             base = int(row.min())
             part = routes.of(h, w, _mix(h, w), row)
             mark = ((row - base) << 1 | train).astype(np.uint64)
-            order, parts = _runs(part, h)
+            order, parts = runs(part, h)
             out = []
             for b, s in parts:
                 o = order[s]
                 names, index = np.unique(w[o], return_inverse=True)
-                out.append((b, 1, _put(*_short(h[o]), names, index.astype(np.uint32), mark[o]), base))
+                out.append((b, 1, put(*_short(h[o]), names, index.astype(np.uint32), mark[o]), base))
             ids = np.array([d[1] if d[1] is not None else 0 for d in documents], np.int64)
             null = np.array([d[1] is None for d in documents], np.uint8)
-            out.append((base % routes.parts, 2, _put(np.array([d[0] for d in documents], np.int64), ids, null, np.array([d[2] for d in documents], np.int64)), base))
+            out.append((base % routes.parts, 2, put(np.array([d[0] for d in documents], np.int64), ids, null, np.array([d[2] for d in documents], np.int64)), base))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int8()), pa.array([o[2] for o in out], pa.binary()), pa.nulls(len(out), pa.binary()), pa.array([o[3] for o in out], pa.int64())], names=["b", "kind", "blob", "more", "base"])
 
     return run
@@ -261,9 +219,9 @@ _SUMS = "kind byte, d int, blob binary, hot long, mass double, words double"
 def _by_document(parts: int, row: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Columns by ranges of 1,024 rows dealt over the partitions."""
     to = _mix(row.astype(np.uint64) >> np.uint64(10), np.zeros(len(row), np.uint64)) % np.uint64(parts)
-    order, found = _runs(to, row)
+    order, found = runs(to, row)
     for d, s in found:
-        yield d, _put(row[order[s]], *(c[order[s]] for c in columns))
+        yield d, put(row[order[s]], *(c[order[s]] for c in columns))
 
 
 def _model(routes: Routes, scale: Scale, b: int, tokens: list, answers: list) -> dict[str, np.ndarray]:
@@ -273,7 +231,7 @@ def _model(routes: Routes, scale: Scale, b: int, tokens: list, answers: list) ->
     """
     found = []
     for blob, _ in tokens:
-        names, runs, words, index, mark = _take(blob)
+        names, runs, words, index, mark = take(blob)
         h, w = np.repeat(names, runs), words[index]
         key, first, inverse = np.unique(_mix(h, w), return_index=True, return_inverse=True)
         found.append((key, h[first], w[first], np.bincount(inverse, mark & np.uint64(1), len(key)).astype(np.int64)))
@@ -321,21 +279,21 @@ def _evaluate(routes: Routes, scale: Scale):
     types = [pa.int8(), pa.int32(), pa.binary(), pa.int64(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, rows in _groups(batches):
+        for b, rows in groups(batches):
             out = []
             for r in rows:
                 if r[1] == 2:
-                    row, ids, null, n = _take(r[2])
+                    row, ids, null, n = take(r[2])
                     out += [(1, d, blob, None, None, None) for d, blob in _by_document(routes.parts, row, ids, null, n)]
             tokens = [(r[2], r[4]) for r in rows if r[1] == 1]
-            answers = [(_take(r[2])[0], _take(r[3])[0]) for r in rows if r[1] == 0]
+            answers = [(take(r[2])[0], take(r[3])[0]) for r in rows if r[1] == 0]
             del rows
             if tokens:
                 model = _model(routes, scale, b, tokens, answers)
                 out += [(2, None, None, *x) for x in zip(model["hot"].tolist(), model["mass"].tolist(), model["words"].tolist(), strict=True)]
             del answers
             for blob, base_row in tokens:
-                runs_h, runs, words, index, mark = _take(blob)
+                runs_h, runs, words, index, mark = take(blob)
                 at = np.searchsorted(model["key"], _mix(np.repeat(runs_h, runs), words[index]))
                 docs, of_doc = np.unique((mark >> np.uint64(1)).astype(np.int64) + base_row, return_inverse=True)
                 sums = [np.bincount(of_doc, model[x][at], len(docs)) for x in ("known", "base", "logp")]
@@ -354,19 +312,19 @@ def _finish(log_back: np.ndarray):
     """doc_id, n_tokens, n_known, base, score of each document from the blobs of its range (columns d, kind, blob)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches):
-            ids = [_take(r[2]) for r in rows if r[1] == 1]
+        for _, rows in groups(batches):
+            ids = [take(r[2]) for r in rows if r[1] == 1]
             row, doc, null, n = (np.concatenate([x[i] for x in ids]) for i in range(4))
             order = np.argsort(row)
             row, sums = row[order], np.zeros((3, len(row)))
             for r in rows:
                 if r[1] == 0:
-                    own, *values = _take(r[2])
+                    own, *values = take(r[2])
                     at = np.searchsorted(row, own)
                     for total, v in zip(sums, values, strict=True):
                         total[at] += v
                 elif r[1] == 3:
-                    own, hot, times = _take(r[2])
+                    own, hot, times = take(r[2])
                     np.add.at(sums[2], np.searchsorted(row, own), log_back[hot] * times)
             yield pa.RecordBatch.from_arrays([pa.array(doc[order], pa.int64(), mask=null[order].astype(bool)), pa.array(n[order]), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
@@ -406,7 +364,7 @@ def score(docs: DataFrame, modulus: int = 5, held: int = 1, parts: int | None =
     pair_n, hot_pairs = np.zeros(TOP + 3, np.int64), {}
     for r in asked.where("kind = 1").select("words", "counts", "n").toLocalIterator():
         pair_n += np.array(r["n"])
-        hot_pairs |= dict(zip(_take(bytes(r["words"]))[0].tolist(), _take(bytes(r["counts"]))[0].tolist(), strict=True))
+        hot_pairs |= dict(zip(take(bytes(r["words"]))[0].tolist(), take(bytes(r["counts"]))[0].tolist(), strict=True))
     told = asked.where("kind = 0").select("wb", "b", "words", "counts").repartition(parts, "wb").sortWithinPartitions("wb")
     told = store(told.mapInArrow(_answer, "b int, words binary, counts binary, n array<long>"), "answers")
     sums = np.zeros(TOP + 3 + 2, np.int64)

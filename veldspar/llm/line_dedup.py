@@ -17,21 +17,24 @@ A word so frequent that its group would be large is dealt out as pairs of chunks
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.llm.common import WordHash, slices, store, table
+from veldspar.llm.blobs import groups, put, runs, take
+from veldspar.llm.common import hashed_words, slices, store, table
 
 PLACES = 1 << 21
 SLICES = 64
 CHUNK = 8192
 NEAREST = 2
-_SUFFIX = 4
+ROWS = 300_000
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_SMALL = 4
 
 
 def needed(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray:
@@ -39,25 +42,57 @@ def needed(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray
     return -(-percent * (a + b) // (100 + percent))
 
 
-def prefix_length(n: int, percent: int) -> int:
+def prefix_length(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     """A set of n words can only be similar to one that shares a word among its so many first."""
     return n - -(-percent * n // 100) + 1
 
 
-def _lines(text: str | None) -> Iterator[tuple[int, list[bytes]]]:
-    for i, line in enumerate((text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")):
-        found = line.split()
-        if found:
-            yield i, found
-
-
-def _key(hashes: np.ndarray) -> tuple[int, int]:
-    digest = xxhash.xxh3_128_intdigest(hashes.tobytes(), 5)
-    return _signed(digest >> 64), _signed(digest & (2**64 - 1))
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _M2
+    return x ^ (x >> np.uint64(27))
+
+
+@dataclass
+class Sets:
+    """Word sets of the lines of some documents: hashes of line i at bounds[i] up to bounds[i + 1]."""
+
+    doc: np.ndarray
+    line: np.ndarray
+    size: np.ndarray
+    hashes: np.ndarray
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.size) - self.size
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of each set, in whatever order its words come."""
+        if not len(self.size):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        mixed = _scrambled(self.hashes)
+        return np.add.reduceat(mixed, self.starts), np.bitwise_xor.reduceat(_scrambled(mixed + _M1), self.starts)
+
+
+def _sets(docs: list[int], texts: list[str | None], chosen: np.ndarray | None = None) -> Sets:
+    """Sets of the lines with a word; with ``chosen`` (marks by place) only of lines whose place is marked."""
+    raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    lines = np.array([r.count(b"\n") + 1 for r in raws], np.int64)
+    raw = np.frombuffer(b"\n".join(raws), np.uint8)
+    starts, hashes = hashed_words(raw)
+    at = np.searchsorted(np.flatnonzero(raw == 10), starts)  # the line of each word, counted through all texts
+    doc = np.repeat(np.array(docs, np.int64), lines)
+    line = np.arange(len(doc)) - np.repeat(np.cumsum(lines) - lines, lines)
+    if chosen is not None:
+        mine = chosen[_place(doc, line)][at]
+        at, hashes = at[mine], hashes[mine]
+    order = np.argsort(hashes)
+    order = order[np.argsort(at[order].astype(np.uint16) if len(doc) < 2**16 else at[order], kind="stable")]
+    at, hashes = at[order], hashes[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1]) | (hashes[1:] != hashes[:-1])
+    at, hashes = at[new], hashes[new]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+    return Sets(doc[at[first]], line[at[first]], np.diff(np.r_[first, len(at)]), hashes)
 
 
 def _blobs(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -72,14 +107,14 @@ def _total(rows: DataFrame) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for i, blob in zip(batch.column("slice").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                part = np.frombuffer(blob, np.uint32).astype(np.uint64)
+            for i, blob in zip(batch.column("slice").to_pylist(), batch.column("blob"), strict=True):
+                part = np.frombuffer(blob.as_buffer(), np.uint32).astype(np.uint64)
                 sums[i] = sums[i] + part if i in sums else part
         keys = sorted(sums)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([np.minimum(sums[k], 2**32 - 1).astype(np.uint32).tobytes() for k in keys], pa.binary())], names=["slice", "blob"])
 
     out = np.zeros(PLACES, np.uint32).reshape(SLICES, -1)
-    for r in rows.select("slice", "blob").repartition(min(SLICES, 16), "slice").mapInArrow(add, "slice int, blob binary").toLocalIterator():
+    for r in rows.select("slice", "blob").repartition(16, "slice").mapInArrow(add, "slice int, blob binary").toLocalIterator():
         out[r["slice"]] = np.frombuffer(bytes(r["blob"]), np.uint32)
     return out.ravel()
 
@@ -89,168 +124,172 @@ _LINES = "k1 long, k2 long, doc long, line int, copy boolean, slice int, blob bi
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each line with a word (copy: its set came earlier in the document), then the task's word counts."""
-    hashes, counts = WordHash(), np.zeros(PLACES, np.int64)
+    counts = np.zeros(PLACES, np.int64)
     names = [x.split()[0] for x in _LINES.split(", ")]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary()]
     for batch in batches:
-        for part, texts in slices(batch, 1, 512):
-            rows, used = [], []
-            for doc, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                seen = set()
-                for i, found in _lines(text):
-                    own = np.unique(hashes.of(found))
-                    key = _key(own)
-                    rows.append((*key, doc, i, key in seen))
-                    if key not in seen:
-                        seen.add(key)
-                        used.append(own)
-            if used:
-                counts += np.bincount((np.concatenate(used) % np.uint64(PLACES)).astype(np.int64), minlength=PLACES)
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=False)), pa.nulls(len(rows), types[5]), pa.nulls(len(rows), types[6])], names=names)
+        for part, texts in slices(batch, 1, 2048, 4_000_000):
+            own = _sets(part.column(0).to_pylist(), texts)
+            k1, k2 = own.keys()
+            order = np.lexsort((own.line, k2, k1, own.doc))
+            same = np.zeros(len(order), bool)
+            same[order[1:]] = (np.diff(own.doc[order]) == 0) & (k1[order][1:] == k1[order][:-1]) & (k2[order][1:] == k2[order][:-1])
+            counts += np.bincount((own.hashes % np.uint64(PLACES)).astype(np.int64), minlength=PLACES)
+            columns = [k1.view(np.int64), k2.view(np.int64), own.doc, own.line.astype(np.int32), same]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(k1), types[5]), pa.nulls(len(k1), types[6])], names=names)
     blobs = list(_blobs(counts))
     yield pa.RecordBatch.from_arrays([*(pa.nulls(len(blobs), t) for t in types[:5]), pa.array([b[0] for b in blobs], types[5]), pa.array([b[1] for b in blobs], types[6])], names=names)
 
 
-def _signatures(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _signatures(own: Sets) -> tuple[np.ndarray, np.ndarray]:
     """128-bit signatures: each word sets one bit."""
-    bit = np.uint64(1) << ((hashes >> np.uint64(40)) % np.uint64(64))
-    high = ((hashes >> np.uint64(50)) & np.uint64(1)).astype(bool)
+    bit = np.uint64(1) << ((own.hashes >> np.uint64(40)) % np.uint64(64))
+    high = ((own.hashes >> np.uint64(50)) & np.uint64(1)).astype(bool)
     zero = np.uint64(0)
-    return np.bitwise_or.reduceat(np.where(high, bit, zero), bounds), np.bitwise_or.reduceat(np.where(high, zero, bit), bounds)
+    return np.bitwise_or.reduceat(np.where(high, bit, zero), own.starts), np.bitwise_or.reduceat(np.where(high, zero, bit), own.starts)
 
 
-def _second_pass(counts: np.ndarray, percent: int):
-    """A row for each prefix word of each line: word, chunk pair, side, doc, line and size, position, signature."""
-    names = ["word", "pair", "side", "doc", "ln", "pos", "s1", "s2"]
+def _second_pass(counts: np.ndarray, percent: int, parts: int, asking: np.ndarray | None = None):
+    """Blobs (b, blob) of prefix words: group, side, document, line, size, position, signature, asks.
+
+    With ``asking`` (marks of words by place and of lines by place), only words that an asking line has are sent,
+    and marked lines ask; else all lines do.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known = WordHash(), {}
+        known, held, n = {}, [], 0
+        marks = None if asking is None else [np.unpackbits(a).astype(bool) for a in asking]
         for batch in batches:
-            for part, texts in slices(batch, 1, 512):
-                kept, sizes, place = [], [], []
-                for doc, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                    for i, found in _lines(text):
-                        if len(found) < _SUFFIX:
-                            continue
-                        own = np.unique(hashes.of(found))
-                        if len(own) < _SUFFIX:
-                            continue  # such a small set is similar to equal ones only
-                        key = xxhash.xxh3_128_digest(own.tobytes(), 5)
-                        if known.get(key, doc + 1) <= doc:
-                            continue  # this task has sent the set for an earlier document
-                        if len(known) > 100_000:
-                            known.clear()
-                        known[key] = doc
-                        kept.append(own), sizes.append(len(own)), place.append((doc, i))
-                if not kept:
-                    continue
-                flat, n = np.concatenate(kept), np.array(sizes)
-                bounds = np.concatenate([[0], np.cumsum(n)[:-1]])
-                s1, s2 = _signatures(flat, bounds)
-                owner = np.repeat(np.arange(len(n)), n)
-                often = counts[(flat % np.uint64(PLACES)).astype(np.int64)]
-                order = np.lexsort((flat, often, owner))
-                pos = np.arange(len(flat)) - bounds[owner]
-                chosen = pos < (n - -(-percent * n // 100) + 1)[owner]
-                word, often, who, pos = flat[order][chosen], often[order][chosen].astype(np.int64), owner[chosen], pos[chosen]
-                docs, lines = np.array([p[0] for p in place], np.int64), np.array([p[1] for p in place], np.int64)
-                k = -(-often // CHUNK)
-                k = np.maximum(k, 1)
-                mine = ((docs[who] * 0x9E3779B1 + lines[who] * 0x85EBCA77) >> 7) % k
-                again = np.repeat(np.arange(len(word)), k)
-                other = np.arange(len(again)) - np.repeat(np.cumsum(k) - k, k)
-                own = mine[again]
-                pair = np.minimum(own, other) * k[again] + np.maximum(own, other)
-                w = who[again]
-                yield pa.RecordBatch.from_arrays([pa.array(word[again].view(np.int64)), pa.array(pair), pa.array((own > other).astype(np.int8)), pa.array(docs[w]), pa.array((lines[w] << 32) | n[w]), pa.array(pos[again].astype(np.int32)), pa.array(s1[w].view(np.int64)), pa.array(s2[w].view(np.int64))], names=names)
+            for part, texts in slices(batch, 1, 2048, 4_000_000):
+                rows = _prefixes(_sets(part.column(0).to_pylist(), texts), counts, percent, known, marks)
+                if len(known) > 200_000:
+                    known.clear()
+                if rows is not None:
+                    held.append(rows)
+                    n += len(rows[0])
+                if n > ROWS:
+                    yield _dealt(held, parts)
+                    held, n = [], 0
+        if held:
+            yield _dealt(held, parts)
 
     return run
 
 
+def _prefixes(own: Sets, counts: np.ndarray, percent: int, known: dict, marks: list | None) -> list[np.ndarray] | None:
+    k1, k2 = own.keys()
+    keep = own.size >= _SMALL  # a smaller set is similar to equal ones only
+    for i, key in enumerate(zip(k1.tolist(), k2.tolist(), own.doc.tolist(), strict=True)):
+        if keep[i]:
+            if known.get(key[:2], key[2] + 1) <= key[2]:
+                keep[i] = False  # this task has sent the set for an earlier document
+            else:
+                known[key[:2]] = key[2]
+    if not keep.any():
+        return None
+    whole = np.repeat(keep, own.size)
+    own = Sets(own.doc[keep], own.line[keep], own.size[keep], own.hashes[whole])
+    s1, s2 = _signatures(own)
+    owner = np.repeat(np.arange(len(own.size)), own.size)
+    often = counts[(own.hashes % np.uint64(PLACES)).astype(np.int64)].astype(np.uint64)
+    # rare words first: the count to some 16 binary digits of precision, then the hash
+    shift = np.maximum(np.int64(0), np.floor(np.log2(np.maximum(often, 1).astype(float))).astype(np.int64) - 10)
+    rank = (shift.astype(np.uint64) << np.uint64(11)) + (often >> shift.astype(np.uint64))
+    order = np.argsort((rank << np.uint64(47)) | (own.hashes >> np.uint64(17)))
+    order = order[np.argsort(owner[order].astype(np.uint16) if len(own.size) < 2**16 else owner[order], kind="stable")]
+    pos = np.arange(len(order)) - own.starts[owner]
+    chosen = pos < prefix_length(own.size, percent)[owner]
+    word, often, who, pos = own.hashes[order][chosen], often[order][chosen].astype(np.int64), owner[chosen], pos[chosen]
+    ask = np.ones(len(own.size), bool)
+    if marks is not None:
+        ask = marks[1][_place(own.doc, own.line)]
+        sent = marks[0][(word % np.uint64(PLACES)).astype(np.int64)]
+        word, often, who, pos = word[sent], often[sent], who[sent], pos[sent]
+    k = np.maximum(1, -(-often // CHUNK))
+    mine = (_scrambled(own.doc.astype(np.uint64) * _M1 + own.line.astype(np.uint64))[who] % k.astype(np.uint64)).astype(np.int64)
+    again = np.repeat(np.arange(len(word)), k)
+    other = np.arange(len(again)) - np.repeat(np.cumsum(k) - k, k)
+    chunk = mine[again]
+    pair = np.minimum(chunk, other) * k[again] + np.maximum(chunk, other)
+    group = np.where(k[again] == 1, word[again], _scrambled(word[again] + pair.astype(np.uint64) * _M1))
+    w = who[again]
+    return [group, (chunk > other).astype(np.uint8), own.doc[w], own.line[w], own.size[w], pos[again], s1[w], s2[w], ask[w].astype(np.uint8)]
+
+
+def _dealt(held: list[list[np.ndarray]], parts: int) -> pa.RecordBatch:
+    columns = [np.concatenate([h[i] for h in held]) for i in range(9)]
+    small = np.int32 if max(columns[3].max(), columns[4].max(), columns[5].max()) < 2**31 else np.int64
+    columns[3:6] = [c.astype(small) for c in columns[3:6]]
+    order, found = runs(columns[0] % np.uint64(parts), columns[0])
+    out = [(b, put(*(c[order[s]] for c in columns))) for b, s in found]
+    return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["b", "blob"])
+
+
 def _compare(percent: int, limit: int | None):
-    """Candidates (x, y earlier) of each group of rows with one word and chunk pair; more: a line had over ``limit``."""
-
-    def group(c: list[np.ndarray], x0: int, x1: int, out: list) -> None:
-        side, doc, ln, pos, s1, s2, ask = (a[x0:x1] for a in c[2:])
-        n, line = ln & 0xFFFFFFFF, ln >> 32
-        dealt = side.any()
-        for at in range(0, len(doc), 256):
-            x = slice(at, at + 256)
-            for to in range(0, len(doc), 4096):
-                y = slice(to, to + 4096)
-                nx, ny = n[x, None], n[None, y]
-                need = needed(nx, ny, percent)
-                ok = (need <= np.minimum(nx - pos[x, None], ny - pos[None, y])) & ask[x, None]
-                ok &= (doc[None, y] < doc[x, None]) | ((doc[None, y] == doc[x, None]) & (line[None, y] < line[x, None]))
-                if dealt:
-                    ok &= side[x, None] != side[None, y]
-                i, j = np.nonzero(ok)
-                i, j = i + at, j + to
-                far = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[j])
-                fine = far <= n[i] + n[j] - 2 * needed(n[i], n[j], percent)
-                i, j, far = i[fine], j[fine], far[fine]
-                more = np.zeros(len(i), bool)
-                if limit is not None and len(i):
-                    o = np.lexsort((line[j], doc[j], far, i))
-                    i, j = i[o], j[o]
-                    rank = np.arange(len(i)) - np.searchsorted(i, i, side="left")
-                    total = np.searchsorted(i, i, side="right") - np.searchsorted(i, i, side="left")
-                    more = (total > limit)[rank < limit]
-                    i, j = i[rank < limit], j[rank < limit]
-                if len(i):
-                    out.append((doc[i], line[i], doc[j], line[j], more))
+    """Candidates (x, y earlier) among the lines of each group; more: a line had over ``limit`` in one.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in _then_none(batches):
-            if batch is not None:
-                cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
-                cols[6:8] = [c.view(np.uint64) for c in cols[6:8]]  # bitwise_count takes the absolute value of signed numbers
-                if rest is not None:
-                    cols = [np.concatenate(p) for p in zip(rest, cols, strict=True)]
-                edges = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
-                end = edges[-1] if len(edges) else 0
-                ready, rest = cols, [c[end:] for c in cols]
-                bounds = np.concatenate([[0], edges]) if len(edges) else np.zeros(0, np.int64)
-            elif rest is not None:
-                ready, edges = rest, np.flatnonzero((np.diff(rest[0]) != 0) | (np.diff(rest[1]) != 0)) + 1
-                bounds = np.concatenate([[0], edges, [len(rest[0])]])
-            else:
-                continue
-            out: list = []
-            sizes = np.diff(bounds)
-            two = np.flatnonzero(sizes == 2)
-            _pairs(ready, bounds[two], percent, out)
-            for g in np.flatnonzero(sizes > 2):
-                group(ready, bounds[g], bounds[g + 1], out)
-            cols_out = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, bool if k == 4 else np.int64) for k in range(5)]
-            yield pa.RecordBatch.from_arrays([pa.array(cols_out[0]), pa.array(cols_out[1].astype(np.int32)), pa.array(cols_out[2]), pa.array(cols_out[3].astype(np.int32)), pa.array(cols_out[4])], names=["xd", "xl", "yd", "yl", "more"])
+    Groups of up to 64 are compared all at once, by distance in the order of groups; larger ones in blocks.
+    """
 
-    return run
+    def near(c: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+        _, side, doc, line, n, pos, s1, s2, ask = c
+        later = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (line[i] > line[j]))
+        i, j = np.where(later, i, j), np.where(later, j, i)
+        need = needed(n[i], n[j], percent)
+        fine = (ask[i] > 0) & (need <= np.minimum(n[i] - pos[i], n[j] - pos[j])) & ((doc[i] != doc[j]) | (line[i] != line[j]))
+        i, j, need = i[fine], j[fine], need[fine]
+        far = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[j])
+        fine = far <= n[i] + n[j] - 2 * need
+        return i[fine], j[fine], far[fine]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groups(batches):
+            parts = [take(r[1]) for r in rows]
+            c = [np.concatenate([p[i] for p in parts]) for i in range(9)]
+            del parts, rows
+            order = np.argsort(c[0], kind="stable")
+            c = [x[order] for x in c]
+            c[3:6] = [x.astype(np.int64) for x in c[3:6]]
+            first = np.flatnonzero(np.r_[True, c[0][1:] != c[0][:-1]])
+            size = np.diff(np.r_[first, len(order)])
+            dealt = np.add.reduceat(c[1], first) > 0
+            gid, found = np.repeat(np.arange(len(first)), size), []
+            small = np.flatnonzero(np.repeat((size > 1) & (size <= 64) & ~dealt, size))
+            for d in range(1, 64):
+                small = small[small + d < len(order)]
+                small = small[gid[small] == gid[small + d]]
+                if not len(small):
+                    break
+                found.append(near(c, small, small + d))
+            for g in np.flatnonzero((size > 64) | (dealt & (size > 1))):
+                a, b = first[g], first[g] + size[g]
+                one, two = np.arange(a, b), np.arange(a, b)
+                if dealt[g]:
+                    one, two = one[c[1][a:b] == 0], two[c[1][a:b] == 1]
+                for s in range(0, len(one), 256):
+                    for t in range(s if not dealt[g] else 0, len(two), 2048):
+                        i, j = np.meshgrid(one[s : s + 256], two[t : t + 2048], indexing="ij")
+                        i, j = i.ravel(), j.ravel()
+                        if not dealt[g]:
+                            i, j = i[i < j], j[i < j]
+                        found.append(_nearest(*near(c, i, j), c, gid, None if limit is None else limit + 1)[:3])  # one more shows that there are more
+            i, j, far = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+            i, j, _, more = _nearest(i, j, far, c, gid, limit)
+            yield pa.RecordBatch.from_arrays([pa.array(c[2][i]), pa.array(c[3][i].astype(np.int32)), pa.array(c[2][j]), pa.array(c[3][j].astype(np.int32)), pa.array(more)], names=["xd", "xl", "yd", "yl", "more"])
 
-def _pairs(c: list[np.ndarray], at: np.ndarray, percent: int, out: list) -> None:
-    """All groups of two rows at once."""
-    if not len(at):
-        return
-    side, doc, ln, pos, s1, s2, ask = c[2:]
-    a, b = at, at + 1
-    la, lb = ln[a] >> 32, ln[b] >> 32
-    swap = (doc[a] < doc[b]) | ((doc[a] == doc[b]) & (la < lb))
-    i, j = np.where(swap, b, a), np.where(swap, a, b)
-    n = ln & 0xFFFFFFFF
-    need = needed(n[i], n[j], percent)
-    far = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[j])
-    fine = (need <= np.minimum(n[i] - pos[i], n[j] - pos[j])) & (far <= n[i] + n[j] - 2 * need) & ask[i]
-    fine &= (doc[i] != doc[j]) | (la != lb)
-    i, j = i[fine], j[fine]
-    out.append((doc[i], ln[i] >> 32, doc[j], ln[j] >> 32, np.zeros(len(i), bool)))
+    return run
 
 
-def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
+def _nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray, c: list[np.ndarray], gid: np.ndarray, limit: int | None) -> tuple[np.ndarray, ...]:
+    """The ``limit`` + 1 closest of each row first, then cut to ``limit`` with a mark where there were more; all without a limit."""
+    if limit is None or not len(i):
+        return i, j, far, np.zeros(len(i), bool)
+    order = np.lexsort((c[3][j], c[2][j], far, i))
+    i, j, far = i[order], j[order], far[order]
+    start = np.searchsorted(i, i, side="left")
+    rank, total = np.arange(len(i)) - start, np.searchsorted(i, i, side="right") - start
+    keep = rank < limit
+    return i[keep], j[keep], far[keep], (total > limit)[keep]
 
 
 def _place(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -258,33 +297,36 @@ def _place(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> np.uint64(29))) % np.uint64(PLACES)).astype(np.int64)
 
 
-def _word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(d, l, words array<long>) of lines whose place is among those of ``wanted`` (d, l): all of these, and a few more.
-
-    The filter has a fixed size; past some millions of wanted lines it only lets more lines through.
-    """
+def _marked(rows: DataFrame, places: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """Packed marks of the places of ``rows``: of fixed size. Past some millions of rows they only let more through."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(PLACES, np.int64)
         for batch in batches:
-            counts += np.bincount(_place(batch.column(0).to_numpy(), batch.column(1).to_numpy()), minlength=PLACES)
-        blobs = list(_blobs(counts))
+            counts += np.bincount(places(batch), minlength=PLACES)
+        blobs = list(_blobs(np.minimum(counts, 1)))
         yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in blobs], pa.int32()), pa.array([b[1] for b in blobs], pa.binary())], names=["slice", "blob"])
 
-    there = np.packbits(_total(wanted.mapInArrow(mark, "slice int, blob binary")) > 0)
+    return np.packbits(_total(rows.mapInArrow(mark, "slice int, blob binary")) > 0)
+
+
+def _line_places(batch: pa.RecordBatch) -> np.ndarray:
+    return _place(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+
+
+def _word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(d, l, words array<long>) of the lines of ``wanted`` (d, l), which a filter of fixed size picks out before they are shuffled."""
+    there = _marked(wanted, _line_places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, hit = WordHash(), np.unpackbits(there).astype(bool)
+        hit = np.unpackbits(there).astype(bool)
         for batch in batches:
-            for part, texts in slices(batch, 1, 512):
-                ids, lines, sets = [], [], []
-                for doc, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                    raw = text.encode("utf-8", "surrogatepass").lower().split(b"\n")
-                    for i in np.flatnonzero(hit[_place(np.full(len(raw), doc, np.int64), np.arange(len(raw)))]).tolist():
-                        ids.append(doc), lines.append(i), sets.append(np.unique(hashes.of(raw[i].split())).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["d", "l", "words"])
+            for part, texts in slices(batch, 1, 2048, 4_000_000):
+                own = _sets(part.column(0).to_pylist(), texts, hit)
+                words = pa.ListArray.from_arrays(pa.array(np.r_[own.starts, len(own.hashes)].astype(np.int32)), pa.array(own.hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(own.doc), pa.array(own.line.astype(np.int32)), words], names=["d", "l", "words"])
 
-    return docs.mapInArrow(run, "d long, l int, words array<long>")
+    return docs.mapInArrow(run, "d long, l int, words array<long>").join(wanted, ["d", "l"], "left_semi")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -308,26 +350,28 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFr
     inside = lines.where("copy").select("doc", "line")
     copies = lines.where("not copy").groupBy("k1", "k2").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     equal = lines.where("not copy").join(copies, ["k1", "k2"]).where(F.col("doc") > F.col("least")).select("doc", "line")
-    rows = own.mapInArrow(_second_pass(counts, percent), "word long, pair long, side byte, doc long, ln long, pos int, s1 long, s2 long")
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
-    def candidates(rows: DataFrame, limit: int | None) -> DataFrame:
-        dealt = rows.repartition("word", "pair").sortWithinPartitions("word", "pair")
-        return dealt.mapInArrow(_compare(percent, limit), "xd long, xl int, yd long, yl int, more boolean")
+    def candidates(limit: int | None, asking: list | None = None) -> DataFrame:
+        rows = own.mapInArrow(_second_pass(counts, percent, parts, asking), "b int, blob binary")
+        return rows.repartition(parts, "b").sortWithinPartitions("b").mapInArrow(_compare(percent, limit), "xd long, xl int, yd long, yl int, more boolean")
 
-    near = store(candidates(rows.withColumn("ask", F.lit(True)), NEAREST), "candidates")
-    pairs = near.select("xd", "xl", "yd", "yl").distinct()
-    wanted = near.select(F.col("xd").alias("d"), F.col("xl").alias("l")).union(near.select("yd", "yl")).distinct()
-    sets = store(_word_sets(own, wanted).join(wanted, ["d", "l"], "left_semi"), "sets")
-    gone = store(_verified(pairs, sets, percent), "gone")
+    def lines_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("xd").alias("d"), F.col("xl").alias("l")).union(pairs.select("yd", "yl")).distinct()
+
+    near = candidates(NEAREST).groupBy("xd", "xl", "yd", "yl").agg(F.max("more").alias("more"))
+    near = store(near, "candidates")
+    sets = store(_word_sets(own, lines_of(near)), "sets")
+    gone = store(_verified(near.drop("more"), sets, percent), "gone")
     left = near.where("more").select(F.col("xd").alias("doc"), F.col("xl").alias("line")).distinct().join(gone, ["doc", "line"], "left_anti").join(equal, ["doc", "line"], "left_anti")
     left = store(left, "left")
     found = [gone]
     if not left.isEmpty():  # the exact way for lines with further candidates: all of them
-        flagged = rows.withColumn("line", F.shiftrightunsigned("ln", 32).cast("int")).join(left.withColumn("a", F.lit(True)), ["doc", "line"], "left")
-        flagged = flagged.select("word", "pair", "side", "doc", "ln", "pos", "s1", "s2", F.coalesce("a", F.lit(False)).alias("ask"))
-        rest = store(candidates(flagged, None).drop("more").distinct().join(pairs, ["xd", "xl", "yd", "yl"], "left_anti"), "rest")
-        wanted = rest.select(F.col("xd").alias("d"), F.col("xl").alias("l")).union(rest.select("yd", "yl")).distinct()
-        found.append(_verified(rest, store(_word_sets(own, wanted).join(wanted, ["d", "l"], "left_semi"), "sets"), percent))
+        words = sets.join(left.select(F.col("doc").alias("d"), F.col("line").alias("l")), ["d", "l"], "left_semi").select(F.explode("words").alias("w"))
+        asking = [_marked(words, lambda batch: (batch.column(0).to_numpy().view(np.uint64) % np.uint64(PLACES)).astype(np.int64)), _marked(left, _line_places)]
+        rest = candidates(None, asking).drop("more").distinct().join(near.drop("more"), ["xd", "xl", "yd", "yl"], "left_anti")
+        rest = store(rest.join(left.select(F.col("doc").alias("xd"), F.col("line").alias("xl")), ["xd", "xl"], "left_semi"), "rest")
+        found.append(_verified(rest, store(_word_sets(own, lines_of(rest)), "sets"), percent))
     out = inside.union(equal)
     for x in found:
         out = out.union(x)
@@ -335,11 +379,14 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFr
 
 
 def dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_lines (with a word), n_removed, removed (line numbers from 0, in order): a row for each distinct id of ``docs``."""
+    """doc_id, n_lines (with a word), n_removed, removed (line numbers from 0, in order): a row for each distinct id of ``docs``.
+
+    Lines of rows that share an id are counted together.
+    """
     removed, lines = removed_lines(docs, percent)
     ids = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc")).distinct()
     by_doc = removed.groupBy("doc").agg(F.array_sort(F.collect_list("line")).alias("removed"))
-    counts = lines.distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("n_lines"))
+    counts = lines.groupBy("doc").agg(F.count(F.lit(1)).alias("n_lines"))
     out = ids.join(counts, "doc", "left").join(by_doc, "doc", "left")
     return out.select(F.col("doc").alias("doc_id"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
