@@ -42,12 +42,13 @@ def planes(dim: int, bits: int, tables: int, seed: int = 7) -> np.ndarray:
 
 
 class HyperplaneIndex:
-    """Buckets by the signs of random projections; candidates come from a few tables and are reranked exactly.
+    """Buckets by the signs of random projections; candidates come from a few tables, from the
+    query's bucket and those one sign away, and are reranked exactly.
 
     Signs are computed on the JVM; the planes are a literal of fixed size. ``rebuild`` is a new instance over new rows.
     """
 
-    def __init__(self, nodes: DataFrame, field: str, dim: int, bits: int = 6, tables: int = 24):
+    def __init__(self, nodes: DataFrame, field: str, dim: int, bits: int = 6, tables: int = 16):
         self.nodes, self.field, self.bits = nodes, field, bits
         self.planes = planes(dim, bits, tables)
         keys = [self._key(F.col(field), t) for t in self.planes]
@@ -63,7 +64,8 @@ class HyperplaneIndex:
         wanted = F.lit(False)
         q = np.asarray(query, float)
         for t, p in enumerate(self.planes):
-            wanted = wanted | ((F.col("t") == t) & (F.col("key") == int(sum(1 << i for i, s in enumerate(p @ q) if s >= 0))))
+            own = int(sum(1 << i for i, s in enumerate(p @ q) if s >= 0))
+            wanted = wanted | ((F.col("t") == t) & F.col("key").isin(own, *[own ^ (1 << i) for i in range(self.bits)]))
         hits = self.buckets.where(wanted).select("id").distinct()
         return search(self.nodes.join(hits, "id", "left_semi"), self.field, query, k, metric)
 
