@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The stop words that the full-text index leaves out.
@@ -13,6 +13,7 @@ STOP_WORDS = (
     "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "shall", "can", "it", "its", "this", "that",
     "these", "those", "i", "me", "my", "we", "our", "you", "your", "he", "she", "they", "them", "their", "not", "no", "so", "if", "as",
 )
+SPLIT = r"[^\p{IsAlphabetic}\p{N}]+"
 K1, B, LENGTH = 1.2, 0.75, 100.0
 KEYWORD_K1, KEYWORD_LENGTH = 1.5, 500.0
 RRF_K = 60
@@ -20,10 +21,16 @@ RRF_K = 60
 
 def tokens(text: Column) -> Column:
     """Lower-case tokens of over one byte between non-alphanumerics, without stop words; null text: none."""
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), r"[^\p{IsAlphabetic}\p{N}]+"), lambda t: F.octet_length(t) > 1)
+    parts = F.filter(F.split(F.coalesce(text, F.lit("")), SPLIT), lambda t: F.octet_length(t) > 1)
     return F.filter(F.transform(parts, F.lower), lambda t: ~t.isin(*STOP_WORDS))
 
 
+def exploded(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` with a row for each token, ``token``: the same tokens by generated code, without lambdas."""
+    parts = df.select("*", F.explode(F.split(text, SPLIT)).alias("_w")).where(F.octet_length("_w") > 1)
+    return parts.withColumn("token", F.lower("_w")).drop("_w").where(~F.col("token").isin(*STOP_WORDS))
+
+
 def query_tokens(query: str) -> list[str]:
     out, now = [], ""
     for c in query + " ":

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldspar.functions import text as T
+from veldspar.operators.graph import kept
 
 
 def postings(nodes: DataFrame, field: str) -> DataFrame:
-    """(token, id, tf, length): one row for each distinct token of a document, counted before anything is shuffled."""
-    words = nodes.select("id", T.tokens(F.col(field)).alias("_t"))
-    exploded = words.select("id", F.size("_t").alias("length"), F.explode("_t").alias("token"))
-    return exploded.groupBy("token", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
+    """(token, id, tf): one row for each distinct token of a document, counted before anything is shuffled."""
+    return T.exploded(nodes.select("id", field), F.col(field)).groupBy("token", "id").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
@@ -23,31 +22,26 @@ def indexed_documents(nodes: DataFrame, field: str) -> int:
     return nodes.where(F.size(T.tokens(F.col(field))) > 0).count()
 
 
-def _count(word: str) -> Column:
-    return F.size(F.filter("_t", lambda t: t == word))
-
-
 def search(nodes: DataFrame, field: str, query: str, limit: int = 10, true_length: bool = False) -> DataFrame:
     """rank, id, type, score and the properties of the ``limit`` best; a token that the query repeats counts again.
 
-    Only query tokens are counted: each row's token array is filtered before it is exploded. With ``true_length`` documents'
+    Only query tokens are counted and kept, with the documents that have one. With ``true_length`` documents'
     lengths count, else a constant length does.
     """
     wanted = T.query_tokens(query)
     rest = sorted(c for c in nodes.columns if c not in ("id", "type"))
     if not wanted:
         return nodes.limit(0).select(F.lit(0).alias("rank"), "id", "type", F.lit(0.0).alias("score"), *rest)
-    found = nodes.select("id", T.tokens(F.col(field)).alias("_t"))
-    n = nodes.agg(F.count(F.lit(1)).alias("_n"), F.avg(F.size(T.tokens(F.col(field)))).alias("_a")).first() if true_length else None
-    total = n["_n"] if n else nodes.count()
-    tf = found.select("id", F.size("_t").alias("length"), *[_count(w).alias(f"_{i}") for i, w in enumerate(dict.fromkeys(wanted))])
-    marks = [(i, wanted.count(w)) for i, w in enumerate(dict.fromkeys(wanted))]
-    tf = tf.where(F.greatest(*[F.col(f"_{i}") for i, _ in marks], F.lit(0)) > 0)
-    df = tf.agg(*[F.coalesce(F.sum((F.col(f"_{i}") > 0).cast("long")), F.lit(0)).alias(f"_{i}") for i, _ in marks]).first()  # one row
+    n = nodes.agg(F.count(F.lit(1)).alias("_n"), *([F.avg(F.size(T.tokens(F.col(field)))).alias("_a")] if true_length else [])).first()
+    marks = [(i, w, wanted.count(w)) for i, w in enumerate(dict.fromkeys(wanted))]
+    here = nodes.where(F.col(field).isNotNull()).select("id", field, F.size(T.tokens(F.col(field))).alias("length") if true_length else F.lit(0).alias("length"))
+    hits = T.exploded(here, F.col(field)).where(F.col("token").isin(*[w for _, w, _ in marks]))
+    tf = kept(hits.groupBy("id", "length").agg(*[F.count(F.when(F.col("token") == w, 1)).alias(f"_{i}") for i, w, _ in marks]), "hits")
+    df = tf.agg(*[F.count(F.when(F.col(f"_{i}") > 0, 1)).alias(f"_{i}") for i, _, _ in marks]).first()  # one row
     score = F.lit(0.0)
-    for i, times in marks:
+    for i, _, times in marks:
         part = T.tf_part(F.col(f"_{i}")) if not true_length else T.tf_part(F.col(f"_{i}"), F.col("length"), F.lit(float(n["_a"] or 1)))
-        score = score + times * T.idf(F.lit(total), F.lit(df[f"_{i}"])) * F.when(F.col(f"_{i}") > 0, part).otherwise(0.0)
+        score = score + times * T.idf(F.lit(n["_n"]), F.lit(df[f"_{i}"])) * F.when(F.col(f"_{i}") > 0, part).otherwise(0.0)
     best = tf.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(limit)
     best = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
     return best.join(nodes, "id").select("rank", "id", "type", "score", *rest).orderBy("rank")
