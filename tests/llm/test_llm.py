@@ -13,6 +13,7 @@ from veldspar.llm import katz, line_dedup, mixing, packing, quality_classifier,
 from veldspar.llm.blobs import put, take
 from veldspar.llm.common import hashed_words, lower_words, remainder
 from veldspar.llm.components import components
+from veldspar.llm.shingle_links import joined
 from veldspar.llm.queries import QUERIES, SQL
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -190,6 +191,63 @@ def test_simhash_odd_rows(odd, docs_of):
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 2, 9]
 
 
+def brute_groups(texts, percent=80):
+    """Least id reachable by equal five-word sets, SimHash at 3 bits, or Jaccard of ``percent`` % or more."""
+    found = {i: WORD.findall(lowered(t or "")) for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in found.items()}
+    prints, ids = {i: simhash.fingerprint(t, 5) for i, t in texts.items()}, sorted(texts)
+    least = {i: i for i in ids}
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            common = len(sets[i] & sets[j])
+            if (prints[i] ^ prints[j]).bit_count() <= 3 or (common and 100 * common >= percent * len(sets[i] | sets[j])):
+                a, b = sorted((root(i), root(j)))
+                least[b] = a
+    return {i: root(i) for i in ids}
+
+
+def test_kept_documents_equal_brute_force(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    want = {i for i, least in brute_groups(texts).items() if i == least}
+    assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("chunk", [3, 4096])
+def test_groups_of_a_dense_family(spark, docs_of, chunk):
+    rng = np.random.default_rng(8)
+    base, texts = [f"w{i}" for i in range(120)], {}
+    for i in range(150):  # a family around one text, at 0.6 to 1 of it
+        w = list(base)
+        for k in rng.integers(0, 120, rng.integers(0, 5)):
+            w[k] = f"x{rng.integers(0, 40)}"
+        texts[i * 7 % 150] = " ".join(w)
+    for i in range(150, 190):  # a chain whose ends are far from each other
+        texts[i] = " ".join(f"c{k}" for k in range(i * 5, i * 5 + 100))
+    docs = docs_of(*texts.items())
+    none = spark.createDataFrame([], "doc_id long, component_id long")
+    got = {r["doc_id"]: r["component_id"] for r in joined(docs, none, chunk=chunk).collect()}
+    want = brute_groups(texts)
+    bits = simhash.near_duplicates(docs, 3, 5).select("doc_id", "component_id")
+    both = {r["doc_id"]: r["component_id"] for r in joined(docs, bits, chunk=chunk).collect()}
+    assert {i: both.get(i, i) for i in texts} == want
+    assert all(want[i] == want[c] for i, c in got.items()) and len(got) > 100
+
+
+def test_kept_documents_odd_rows(odd):
+    kept = simhash.keep_first(odd)
+    assert kept.columns == odd.columns
+    assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, -1, 1, 2, 4, 6, 2**60 + 1]
+    assert simhash.keep_first(odd.limit(0)).count() == 0
+    assert "extra" in simhash.keep_first(odd.selectExpr("*", "1 extra", "2 component_id", "3 doc")).columns
+
+
 # 4 line dedup
 def brute_removed(docs, percent=80):
     earlier, out = [], set()

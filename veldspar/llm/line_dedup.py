@@ -47,7 +47,7 @@ def prefix_length(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return n - -(-percent * n // 100) + 1
 
 
-def _scrambled(x: np.ndarray) -> np.ndarray:
+def scrambled(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _M2
     return x ^ (x >> np.uint64(27))
 
@@ -69,8 +69,8 @@ class Sets:
         """128 bits of each set, in whatever order its words come."""
         if not len(self.size):
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        mixed = _scrambled(self.hashes)
-        return np.add.reduceat(mixed, self.starts), np.bitwise_xor.reduceat(_scrambled(mixed + _M1), self.starts)
+        mixed = scrambled(self.hashes)
+        return np.add.reduceat(mixed, self.starts), np.bitwise_xor.reduceat(scrambled(mixed + _M1), self.starts)
 
 
 def _sets(docs: list[int], texts: list[str | None], chosen: np.ndarray | None = None) -> Sets:
@@ -95,13 +95,13 @@ def _sets(docs: list[int], texts: list[str | None], chosen: np.ndarray | None =
     return Sets(doc[at[first]], line[at[first]], np.diff(np.r_[first, len(at)]), hashes)
 
 
-def _blobs(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def slice_blobs(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
     for i, part in enumerate(counts.reshape(SLICES, -1)):
         if part.any():
             yield i, part.astype(np.uint32).tobytes()
 
 
-def _total(rows: DataFrame) -> np.ndarray:
+def place_counts(rows: DataFrame) -> np.ndarray:
     """Sums (slice, blob) rows to one array of PLACES counts: SLICES blobs of fixed size come to the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +137,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts += np.bincount((own.hashes % np.uint64(PLACES)).astype(np.int64), minlength=PLACES)
             columns = [k1.view(np.int64), k2.view(np.int64), own.doc, own.line.astype(np.int32), same]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(k1), types[5]), pa.nulls(len(k1), types[6])], names=names)
-    blobs = list(_blobs(counts))
+    blobs = list(slice_blobs(counts))
     yield pa.RecordBatch.from_arrays([*(pa.nulls(len(blobs), t) for t in types[:5]), pa.array([b[0] for b in blobs], types[5]), pa.array([b[1] for b in blobs], types[6])], names=names)
 
 
@@ -206,12 +206,12 @@ def _prefixes(own: Sets, counts: np.ndarray, percent: int, known: dict, marks: l
         sent = marks[0][(word % np.uint64(PLACES)).astype(np.int64)]
         word, often, who, pos = word[sent], often[sent], who[sent], pos[sent]
     k = np.maximum(1, -(-often // CHUNK))
-    mine = (_scrambled(own.doc.astype(np.uint64) * _M1 + own.line.astype(np.uint64))[who] % k.astype(np.uint64)).astype(np.int64)
+    mine = (scrambled(own.doc.astype(np.uint64) * _M1 + own.line.astype(np.uint64))[who] % k.astype(np.uint64)).astype(np.int64)
     again = np.repeat(np.arange(len(word)), k)
     other = np.arange(len(again)) - np.repeat(np.cumsum(k) - k, k)
     chunk = mine[again]
     pair = np.minimum(chunk, other) * k[again] + np.maximum(chunk, other)
-    group = np.where(k[again] == 1, word[again], _scrambled(word[again] + pair.astype(np.uint64) * _M1))
+    group = np.where(k[again] == 1, word[again], scrambled(word[again] + pair.astype(np.uint64) * _M1))
     w = who[again]
     return [group, (chunk > other).astype(np.uint8), own.doc[w], own.line[w], own.size[w], pos[again], s1[w], s2[w], ask[w].astype(np.uint8)]
 
@@ -304,10 +304,10 @@ def _marked(rows: DataFrame, places: Callable[[pa.RecordBatch], np.ndarray]) ->
         counts = np.zeros(PLACES, np.int64)
         for batch in batches:
             counts += np.bincount(places(batch), minlength=PLACES)
-        blobs = list(_blobs(np.minimum(counts, 1)))
+        blobs = list(slice_blobs(np.minimum(counts, 1)))
         yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in blobs], pa.int32()), pa.array([b[1] for b in blobs], pa.binary())], names=["slice", "blob"])
 
-    return np.packbits(_total(rows.mapInArrow(mark, "slice int, blob binary")) > 0)
+    return np.packbits(place_counts(rows.mapInArrow(mark, "slice int, blob binary")) > 0)
 
 
 def _line_places(batch: pa.RecordBatch) -> np.ndarray:
@@ -345,7 +345,7 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFr
     """
     own = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), "text")
     first = store(own.mapInArrow(_first_pass, _LINES), "lines")
-    counts = _total(first.where(F.col("slice").isNotNull()))
+    counts = place_counts(first.where(F.col("slice").isNotNull()))
     lines = first.where(F.col("slice").isNull()).select("k1", "k2", "doc", "line", "copy")
     inside = lines.where("copy").select("doc", "line")
     copies = lines.where("not copy").groupBy("k1", "k2").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")

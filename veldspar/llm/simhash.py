@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from veldspar.llm.common import annotate, lower_words, store, table
 from veldspar.llm.components import components
+from veldspar.llm.shingle_links import joined
 
 CHUNK = 1024
 
@@ -182,12 +183,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def keep_first(docs: DataFrame, radius: int = 3, width: int = 5) -> DataFrame:
-    """``docs``, all columns, with one row of each component: that of its smallest doc_id.
+def keep_first(docs: DataFrame, radius: int = 3, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs``, all columns, with one row of each group of near-duplicates: that of its smallest doc_id.
 
-    An id that comes several times stays once. Rows without an id cannot be named and stay as they are.
-    The semi-join and the distinct ids share one shuffle by doc_id.
+    Groups are SimHash components, joined further by every pair of documents whose sets of ``width``-word shingles
+    have a Jaccard similarity of ``percent`` % or more. An id that comes several times stays once. Rows without an id
+    cannot be named and stay as they are; null and empty texts are one group; an empty table stays empty.
     """
-    found = near_duplicates(docs.where(F.col("doc_id").isNotNull()), radius, width)
-    firsts = store(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "firsts")
-    return docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    named = docs.where(F.col("doc_id").isNotNull())
+    found = joined(named, near_duplicates(named, radius, width).select("doc_id", "component_id"), width, percent)
+    later = store(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "later")
+    return docs.join(later, "doc_id", "left_anti").where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
