@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veldspar.functions import keys, text
+from veldspar.functions import bloom, keys, text
 from veldspar.functions import vector as V
 from veldspar.operators import dml, fulltext, graph, rag, relational, stats, vectors
 from veldspar.operators.predicates import Condition
@@ -447,7 +447,9 @@ def r12_context_budget(spark, sf):
     return found.select("rank", "id", F.round("score", 6).alias("score"), "total_tokens")
 
 
-@query()
+@query(_PASSAGES + """b AS (SELECT id, text, sim, least(key / 3.0, 1.0) AS again FROM d WHERE sim IS NOT NULL ORDER BY sim DESC, id LIMIT 80),
+r AS (SELECT id, text, 0.5 * sim + 0.5 * again AS score, row_number() OVER (ORDER BY 0.5 * sim + 0.5 * again DESC, id) AS rank FROM b WHERE sim >= 0.05),
+t AS (SELECT CAST(rank AS INT) AS rank, id, round(score, 6) AS score, CAST(sum(length(text) // 4) OVER (ORDER BY rank) AS BIGINT) AS total_tokens FROM r) SELECT * FROM t WHERE total_tokens <= 4000""")
 def r13_context_reranked(spark, sf):
     found = rag.retrieve(_passages(spark, sf), "embedding", _first_vector(spark, sf), 4000, 0.05, "text", lambda c: text.bm25_rerank(c, " ".join(_TERMS)))
     return found.select("rank", "id", F.round("score", 6).alias("score"), "total_tokens")
@@ -477,6 +479,128 @@ def d2_insert(spark, sf):
     return dml.insert(read(spark, sf, "region"), spark.createDataFrame([(99, "ATLANTIS")], "r_regionkey int, r_name string"))
 
 
+# Operators in the shapes that callers see
+@query("SELECT id, type FROM (SELECT 'region:' || r_regionkey AS id, 'region' AS type FROM region UNION ALL SELECT 'nation:' || n_nationkey, 'nation' FROM nation UNION ALL SELECT 'customer:' || c_custkey, 'customer' FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'supplier' FROM supplier UNION ALL SELECT 'orders:' || o_orderkey, 'orders' FROM orders UNION SELECT 'conversations:' || conv_id || ':' || turn, 'conversations' FROM conversations)")
+def sc7_all_nodes(spark, sf):
+    return node_ids(spark, sf)
+
+
+@query("SELECT 'orders:' || o_orderkey AS id, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')")
+def j4_posting_semi_join(spark, sf):
+    listed = relational.select(nodes(spark, sf, "customer"), ["c_custkey"], [Condition("c_mktsegment", "=", "MACHINERY")])
+    return nodes(spark, sf, "orders").join(listed, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("id", "o_totalprice")
+
+
+@query("SELECT 'part:' || p_partkey AS id, 'part' AS type, p_size, p_type FROM part WHERE p_size >= 10 AND p_size < 20 AND p_type LIKE '%A%'")
+def p8_filter_and(spark, sf):
+    conditions = [Condition("p_size", ">=", 10), Condition("p_size", "<", 20), Condition("p_type", "LIKE", "%A%")]
+    return relational.select(nodes(spark, sf, "part"), ["p_size", "p_type"], conditions)
+
+
+@query("SELECT 'nation:' || n_nationkey AS id, 'nation' AS type, n_name FROM nation WHERE n_nationkey IN (3, 4)")
+def p9_pseudo_columns(spark, sf):
+    return relational.select(nodes(spark, sf, "nation"), ["n_name"], [Condition("type", "=", "nation"), Condition("id", "IN", ["nation:3", "nation:4", "region:1"])])
+
+
+@query("SELECT 'supplier:' || s_suppkey AS id, 'supplier' AS type, nullif(s_nationkey, 7) AS k FROM supplier ORDER BY k ASC NULLS FIRST, id LIMIT 12")
+def s1_order_nulls_lowest(spark, sf):
+    own = nodes(spark, sf, "supplier").select("id", "type", F.expr("nullif(s_nationkey, 7) AS k"))
+    return relational.select(own, ["k"], (), [("k", False), ("id", False)], 12)
+
+
+@query(_Q.format(_COS) + f""", m AS (SELECT vec_id, {_L2} AS l2, {_L1} AS l1, {_DOT} AS ip, {_COS} AS cos FROM embeddings, q)
+SELECT vec_id, metric, round(score, 6) AS score, round(distance, 6) AS distance FROM (
+SELECT vec_id, 'cosine' AS metric, cos AS score, 1 - cos AS distance FROM m UNION ALL SELECT vec_id, 'euclidean', 1 / (1 + l2), l2 FROM m
+UNION ALL SELECT vec_id, 'manhattan', 1 / (1 + l1), l1 FROM m UNION ALL SELECT vec_id, 'dot', ip, -ip FROM m)""")
+def f6_scores_and_distances(spark, sf):
+    own, first = read(spark, sf, "embeddings"), V.literal(_first_vector(spark, sf))
+    pairs = [F.struct(F.lit(m).alias("metric"), *[c.alias(n) for c, n in zip(V.score_and_distance(F.col("embedding"), first, m), ("score", "distance"), strict=True)]) for m in ("cosine", "euclidean", "manhattan", "dot")]
+    return own.select("vec_id", F.explode(F.array(*pairs)).alias("x")).select("vec_id", "x.metric", F.round("x.score", 6).alias("score"), F.round("x.distance", 6).alias("distance"))
+
+
+@query(_T + "SELECT doc_id, CAST(coalesce(n, 0) AS INT) AS n_tokens FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id) USING (doc_id)")
+def f8_tokens(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).alias("n_tokens"))
+
+
+@query(_T + "SELECT token, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM (SELECT token, count(*) AS df FROM post GROUP BY token), (SELECT count(*) AS n FROM documents)")
+def f9_idf(spark, sf):
+    docs = _documents(spark, sf).select("id", "text")
+    found = fulltext.document_frequency(fulltext.postings(docs, "text"))
+    return found.select("token", F.round(text.idf(F.lit(docs.count()), F.col("df")), 6).alias("idf"))
+
+
+@query("SELECT event_id, CAST(trunc(value) AS BIGINT) AS whole, CAST(user_id AS DOUBLE) AS real FROM events")
+def f16_coercions(spark, sf):
+    return read(spark, sf, "events").select("event_id", keys.as_int(F.col("value")).alias("whole"), keys.as_float(F.col("user_id")).alias("real"))
+
+
+@query("SELECT p_partkey, 's:' || p_brand AS s, 'i:' || p_size AS i, printf('f:%.10f', p_retailprice) AS f, CASE WHEN p_size > 20 THEN 'b:true' ELSE 'b:false' END AS b FROM part")
+def f17_property_keys(spark, sf):
+    values = {"s": F.col("p_brand"), "i": F.col("p_size"), "f": F.col("p_retailprice"), "b": F.col("p_size") > 20}
+    return read(spark, sf, "part").select("p_partkey", *[keys.property_key(v, k).alias(k) for k, v in values.items()])
+
+
+@query("SELECT c_custkey, true AS found FROM customer")
+def f19_bloom_holds_all(spark, sf):
+    """A filter of fixed size forgets nothing that was put in."""
+    own = read(spark, sf, "customer").select("c_custkey", "c_name")
+    made = bloom.build(own, "c_name", 200_000)
+    has = F.pandas_udf(lambda names: names.map(lambda x: x in made), "boolean")
+    return own.select("c_custkey", has("c_name").alias("found"))
+
+
+@query("SELECT '    ' || substr('nation:' || n_nationkey, 1, 8) || ' -->|in_region| ' || substr('region:' || n_regionkey, 1, 8) AS line FROM nation")
+def g8_mermaid_lines(spark, sf):
+    return sinks.mermaid(edges(spark, sf).where("edge_type = 'in_region'"))
+
+
+@query("""SELECT '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' AS value FROM nation""")
+def sk2_json_rows(spark, sf):
+    return sinks.json_rows(read(spark, sf, "nation").select("n_name", "n_nationkey", "n_regionkey"))
+
+
+@query(_Q.format(_COS) + "SELECT CAST(row_number() OVER (ORDER BY x DESC, id) AS INT) AS rank, id AS node_id, printf('%.6f', x) AS score, printf('%.6f', 1 - x) AS distance FROM p ORDER BY rank LIMIT 10")
+def sk5_similarity_rows(spark, sf):
+    return sinks.similarity_rows(vectors.search(_vectors(spark, sf), "embedding", _first_vector(spark, sf), 10))
+
+
+@query(_T + "SELECT count(DISTINCT doc_id) AS indexed FROM post")
+def t1_fts_index_count(spark, sf):
+    return spark.createDataFrame([(fulltext.indexed_documents(_documents(spark, sf).select("id", "text"), "text"),)], "indexed long")
+
+
+@query(_T + """, q(token, times) AS (VALUES ('hat', 1)), n AS (SELECT count(*) AS n FROM documents), df AS (SELECT token, count(*) AS df FROM post GROUP BY token),
+s AS (SELECT doc_id, ln((n - df + 0.5) / (df + 0.5) + 1) * 2.2 * tf / (tf + 1.2) AS score FROM post JOIN q USING (token) JOIN df USING (token), n),
+b AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, 'documents:' || doc_id) AS INT) AS rank, doc_id, score FROM s QUALIFY rank <= 5)
+SELECT rank, 'documents:' || doc_id AS id, 'documents' AS type, round(score, 6) AS score, doc_id, lang, source FROM b JOIN documents USING (doc_id)""")
+def t3_fts_result_shape(spark, sf):
+    hits = fulltext.search(_documents(spark, sf), "text", "the hat", 5)
+    return hits.select("rank", "id", "type", F.round("score", 6).alias("score"), "doc_id", "lang", "source")
+
+
+_WORDS = ("the", "und", "que")
+
+
+@query("WITH w AS (SELECT doc_id, " + ", ".join(f"len(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x = '{w}')) AS c{i}" for i, w in enumerate(_WORDS)) + " FROM documents), n AS (SELECT *, sqrt(c0 * c0 + c1 * c1 + c2 * c2) AS l FROM w) SELECT doc_id, " + ", ".join(f"CASE WHEN l = 0 THEN 0.0::DOUBLE ELSE round(c{i} / l, 4) END AS v{i}" for i in range(3)) + " FROM n")
+def r7_term_vectors(spark, sf):
+    made = read(spark, sf, "documents").select("doc_id", rag.TermEmbedder(_WORDS).column(F.col("text")).alias("v"))
+    return made.select("doc_id", *[F.round(F.col("v")[i].cast("double"), 4).alias(f"v{i}") for i in range(3)])
+
+
+@query("SELECT 'documents:' || doc_id AS id, (" + " + ".join(f"contains(lower(text), '{t}')::INT" for t in _TERMS) + ") / 3.0 AS s FROM documents WHERE s > 0 ORDER BY s DESC, id LIMIT 25")
+def r11_keyword_search(spark, sf):
+    return rag.keyword_search(_documents(spark, sf), "text", " ".join(_TERMS), 25).withColumnRenamed("score", "s")
+
+
+@query(_PASSAGES + """b AS (SELECT text, sim, row_number() OVER (ORDER BY sim DESC, id) AS rank FROM d WHERE sim IS NOT NULL QUALIFY rank <= 40),
+t AS (SELECT *, sum(length(text) // 4) OVER (ORDER BY rank) AS total FROM b WHERE sim >= 0.05)
+SELECT md5(string_agg('[Source ' || rank || '] (Relevance: ' || printf('%.2f', sim) || ')' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS digest FROM t WHERE total <= 4000""")
+def r15_format_for_llm(spark, sf):
+    found = rag.retrieve(_passages(spark, sf), "embedding", _first_vector(spark, sf), 4000, 0.05, "text")
+    return rag.format_for_llm(found).select(F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 # Extensions: what Spark SQL gives beside the operators above
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def x_group_aggregate(spark, sf):
