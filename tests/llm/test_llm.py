@@ -418,6 +418,22 @@ def test_katz_equals_brute_force(spark, sf_dir, parts):
     assert np.allclose([r["score"] for r in got], score, atol=1e-6) and np.allclose([r["base_score"] for r in got], base, atol=1e-6)
 
 
+@pytest.mark.parametrize("parts", [8, 64])
+@pytest.mark.parametrize("rows_of", ["long", "copies"])
+def test_katz_of_few_pairs_equals_brute_force(docs_of, parts, rows_of):
+    if rows_of == "long":  # a pair that one document has, in a row that is no multiple of its spread
+        docs = [(i, f"some a zebra of {i} and b a c{i % 7} here") for i in range(40)]
+        docs[6] = (6, "a b " * 3000)
+    else:
+        docs = [(i, "same few words again and again the same few words") for i in range(60)]
+    train = [zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in docs]
+    assert train[6]
+    score, base, known, _ = brute_katz([t for _, t in docs], train)
+    got = katz.score(docs_of(*docs).coalesce(1), parts=parts).orderBy("doc_id").collect()
+    assert [r["n_known"] for r in got] == known
+    assert np.allclose([r["score"] for r in got], score, atol=1e-6) and np.allclose([r["base_score"] for r in got], base, atol=1e-6)
+
+
 def test_katz_odd_rows(odd):
     got = katz.score(clashing(odd)).collect()
     assert len(got) == 10 and all(math.isfinite(r["score"]) and r["n_tokens"] >= 1 for r in got)

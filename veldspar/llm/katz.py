@@ -50,6 +50,13 @@ class Routes:
     spread: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     pair_spread: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    pair_h: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    pair_w: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+
+    @property
+    def common(self) -> np.ndarray:
+        """Words every partition has to know: hot histories and the words of hot pairs, which are hot themselves or the end."""
+        return np.union1d(np.append(self.hot, np.uint64(END)), self.pair_w)
 
     def of(self, h: np.ndarray, w: np.ndarray, key: np.ndarray, row: np.ndarray | None = None) -> np.ndarray:
         n = np.uint64(self.parts)
@@ -149,7 +156,7 @@ def _ask(routes: Routes):
             total = np.bincount(inverse, c, len(key)).astype(np.int64)
             n = np.bincount(np.minimum(total, TOP + 2), minlength=TOP + 3)
             at, hot = find(routes.pairs, key)
-            words, inverse = np.unique(np.concatenate([w, routes.hot, np.array([END], np.uint64)]), return_inverse=True)
+            words, inverse = np.unique(np.concatenate([w, routes.common]), return_inverse=True)
             count = np.bincount(inverse[: len(w)], c, len(words)).astype(np.uint32)
             order, to = runs(words % np.uint64(routes.parts), words)
             out = [(0, wb, b, put(words[order[s]]), put(count[order[s]]), None) for wb, s in to]
@@ -159,19 +166,24 @@ def _ask(routes: Routes):
     return run
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each partition of words (wb, b, words, counts): the summed counts for each one that asked, and counts of counts, N and V."""
-    for _, rows in groups(batches):
-        asked = [take(r[2])[0] for r in rows]
-        words, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([take(r[3])[0] for r in rows]), len(words)).astype(np.int64)
-        n = np.bincount(np.minimum(total, TOP + 2), minlength=TOP + 3).tolist()
-        ends, out = np.cumsum([len(a) for a in asked]), []
-        for r, a, end in zip(rows, asked, ends, strict=True):
-            out.append((r[1], put(a), put(total[inverse[end - len(a) : end]]), None))
-        out.append((None, None, None, [*n, int(total.sum()), int((total > 0).sum())]))
-        types = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["b", "words", "counts", "n"])
+def _answer(routes: Routes):
+    """For each partition of words (wb, b, words, counts): the summed counts for each one that asked; then those of common words, counts of counts, N and V."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groups(batches):
+            asked = [take(r[2])[0] for r in rows]
+            words, inverse = np.unique(np.concatenate(asked), return_inverse=True)
+            total = np.bincount(inverse, np.concatenate([take(r[3])[0] for r in rows]), len(words)).astype(np.int64)
+            n = np.bincount(np.minimum(total, TOP + 2), minlength=TOP + 3).tolist()
+            ends, out = np.cumsum([len(a) for a in asked]), []
+            for r, a, end in zip(rows, asked, ends, strict=True):
+                out.append((r[1], put(a), put(total[inverse[end - len(a) : end]]), None))
+            common = find(routes.common, words)[1]
+            out.append((None, put(words[common]), put(total[common]), [*n, int(total.sum()), int((total > 0).sum())]))
+            types = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["b", "words", "counts", "n"])
+
+    return run
 
 
 def _tokens_out(routes: Routes):
@@ -198,7 +210,7 @@ def _tokens_out(routes: Routes):
 
 @dataclass
 class Scale:
-    """Counts of the whole training corpus: N, V, discounts of words and pairs, mass of the unknown class, hot pairs' counts."""
+    """Counts of the whole training corpus: N, V, discounts of words and pairs, mass of the unknown class, counts of hot pairs and common words."""
 
     tokens: int
     distinct: int
@@ -208,6 +220,13 @@ class Scale:
     pairs: np.ndarray
     pair_counts: np.ndarray
     starts: int
+    common: np.ndarray
+    common_counts: np.ndarray
+
+    def count(self, words: np.ndarray) -> np.ndarray:
+        """Training counts of common words."""
+        at, there = find(self.common, words)
+        return np.where(there, self.common_counts[at], 0) if len(self.common) else np.zeros(len(words), np.int64)
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
         return np.where(c > 0, discounted(c, self.word_d) / (self.tokens + 1), self.unknown)
@@ -227,7 +246,8 @@ def _by_document(parts: int, row: np.ndarray, *columns: np.ndarray) -> Iterator[
 def _model(routes: Routes, scale: Scale, b: int, tokens: list, answers: list) -> dict[str, np.ndarray]:
     """The part of the model that partition ``b`` holds: by pair (sorted keys) its log probability, and its word's; hot histories' masses.
 
-    A hot history's back-off weight is left out of ``logp`` (``late``: its place among the hot ones, else -1).
+    A hot history's back-off weight is left out of ``logp`` (``late``: its place among the hot ones, else -1). Hot pairs
+    are no part of the masses here, since any partition may hold their tokens: ``_hot_masses`` adds them once for each pair.
     """
     found = []
     for blob, _ in tokens:
@@ -241,6 +261,7 @@ def _model(routes: Routes, scale: Scale, b: int, tokens: list, answers: list) ->
     del found, first, inverse
     at, split = find(scale.pairs, key)
     pair_c[split] = scale.pair_counts[at[split]]
+    answers = [*answers, (scale.common, scale.common_counts)]  # a partition that only holds tokens of hot pairs has asked nothing
     names_w, counts_w = np.concatenate([k[0] for k in answers]), np.concatenate([k[1] for k in answers])
     order = np.argsort(names_w, kind="stable")
     names_w, counts_w = names_w[order], counts_w[order]
@@ -249,19 +270,14 @@ def _model(routes: Routes, scale: Scale, b: int, tokens: list, answers: list) ->
     low = scale.unigram(word_c)
     hist, of_h = np.unique(pair_h, return_inverse=True)
     hot_at, hot = find(routes.hot, hist)
-    # a hot pair that was split by document counts once, in the partition where row 0 would go
-    once = np.ones(len(key), bool)
-    if split.any():
-        here = routes.of(pair_h[split], pair_w[split], key[split], np.zeros(int(split.sum()), np.int64))
-        once[split] = here == np.uint64(b)
     c_h = np.bincount(of_h, pair_c, len(hist))
     at, there = find(names_w, hist)
     c_h = np.where(hot & there, counts_w[at], c_h)
     c_h = np.where(hist == START, scale.starts, c_h)
     seen = pair_c > 0
     held = np.where(seen, discounted(pair_c, scale.pair_d), 0.0)
-    mass = np.bincount(of_h, np.where(once, held, 0.0), len(hist)) / (c_h + 1)
-    words = np.bincount(of_h, np.where(seen & once, low, 0.0), len(hist))
+    mass = np.bincount(of_h, np.where(split, 0.0, held), len(hist)) / (c_h + 1)
+    words = np.bincount(of_h, np.where(seen & ~split, low, 0.0), len(hist))
     back = np.where(c_h > 0, (1 - mass) / np.maximum(1 - words, 1e-300), 1.0)
     log_back = np.where(hot, 0.0, np.log10(np.maximum(back, 1e-300)))
     logp = np.where(seen, np.log10(np.maximum(held, 1e-300) / (c_h[of_h] + 1)), log_back[of_h] + np.log10(low))
@@ -270,6 +286,16 @@ def _model(routes: Routes, scale: Scale, b: int, tokens: list, answers: list) ->
     return {"key": key, "logp": logp, "base": base, "known": word_c > 0, "late": late, "hot": hot_at[hot], "mass": mass[hot], "words": words[hot]}
 
 
+def _hot_masses(routes: Routes, scale: Scale) -> np.ndarray:
+    """(mass, words) that the hot pairs add to each hot history, by their exact counts: a hot pair's history is hot."""
+    at, there = find(scale.pairs, routes.pairs)
+    c = np.where(there, scale.pair_counts[at], 0) if len(scale.pairs) else np.zeros(0, np.int64)
+    h, w, c = routes.pair_h[c > 0], routes.pair_w[c > 0], c[c > 0]
+    c_h = np.where(h == START, scale.starts, scale.count(h))
+    at, _ = find(routes.hot, h)
+    return np.stack([np.bincount(at, x, len(routes.hot)).astype(float) for x in (discounted(c, scale.pair_d) / (c_h + 1), scale.unigram(scale.count(w)))])
+
+
 def _evaluate(routes: Routes, scale: Scale):
     """Blobs for documents: sums (kind 0), documents (1), unseen pairs of hot histories (3); and hot histories' masses (2).
 
@@ -334,18 +360,22 @@ def _finish(log_back: np.ndarray):
 def _routes(docs: DataFrame, parts: int, sample: int = 1000) -> Routes:
     """Hot histories and pairs of the first ``sample`` documents by hash: those with over a quarter of a partition's share."""
     rows = docs.select("row", "doc_id", "text", "train").orderBy(F.xxhash64("doc_id"), "row").limit(sample)
-    words, pairs, size = Counter(), Counter(), 0
+    words, pairs, of_pair, size = Counter(), Counter(), {}, 0
     for batch in rows.toArrow().to_batches():
         for h, w, *_ in _tokens(iter([batch])):
             words.update(dict(zip(*(x.tolist() for x in np.unique(h, return_counts=True)), strict=True)))
-            pairs.update(dict(zip(*(x.tolist() for x in np.unique(_mix(h, w), return_counts=True)), strict=True)))
+            key, first, n = np.unique(_mix(h, w), return_index=True, return_counts=True)
+            pairs.update(dict(zip(key.tolist(), n.tolist(), strict=True)))
+            of_pair |= dict(zip(key.tolist(), zip(h[first].tolist(), w[first].tolist(), strict=True), strict=True))
             size += len(h)
 
     def hot(found: Counter) -> tuple[np.ndarray, np.ndarray]:
         chosen = sorted((x, n) for x, n in found.items() if n >= 20 and 4 * parts * n > size)
         return np.array([x for x, _ in chosen], np.uint64), np.array([min(parts, -(-4 * parts * n // size)) for _, n in chosen], np.uint64)
 
-    return Routes(parts, *hot(words), *hot(pairs))
+    names, spread = hot(pairs)
+    found = [of_pair[x] for x in names.tolist()]
+    return Routes(parts, *hot(words), names, spread, np.array([x[0] for x in found], np.uint64), np.array([x[1] for x in found], np.uint64))
 
 
 def score(docs: DataFrame, modulus: int = 5, held: int = 1, parts: int | None = None) -> DataFrame:
@@ -366,26 +396,28 @@ def score(docs: DataFrame, modulus: int = 5, held: int = 1, parts: int | None =
         pair_n += np.array(r["n"])
         hot_pairs |= dict(zip(take(bytes(r["words"]))[0].tolist(), take(bytes(r["counts"]))[0].tolist(), strict=True))
     told = asked.where("kind = 0").select("wb", "b", "words", "counts").repartition(parts, "wb").sortWithinPartitions("wb")
-    told = store(told.mapInArrow(_answer, "b int, words binary, counts binary, n array<long>"), "answers")
-    sums = np.zeros(TOP + 3 + 2, np.int64)
-    for r in told.where("b is null").select("n").toLocalIterator():
+    told = store(told.mapInArrow(_answer(routes), "b int, words binary, counts binary, n array<long>"), "answers")
+    sums, common = np.zeros(TOP + 3 + 2, np.int64), {}
+    for r in told.where("b is null").select("words", "counts", "n").toLocalIterator():
         sums += np.array(r["n"])
+        common |= dict(zip(take(bytes(r["words"]))[0].tolist(), take(bytes(r["counts"]))[0].tolist(), strict=True))
     n_tokens, distinct = int(sums[TOP + 3]), int(sums[TOP + 4])
     word_d, pair_d = discounts(sums[: TOP + 3]), discounts(pair_n)
     n = sums[: TOP + 3].astype(float)
     high = n_tokens - sum(r * n[r] for r in range(1, TOP + 1))
     mass = (sum(r * n[r] * word_d[r] for r in range(1, TOP + 1)) + high) / (n_tokens + 1)
     starts = int(rows.where("train").count())
-    names = np.array(sorted(hot_pairs), np.uint64)
-    scale = Scale(n_tokens, distinct, word_d, pair_d, 1 - mass, names, np.array([hot_pairs[x] for x in names.tolist()], np.int64), starts)
+    counts = [a for x in (hot_pairs, common) for a in (np.array(sorted(x), np.uint64), np.array([x[k] for k in sorted(x)], np.int64))]
+    scale = Scale(n_tokens, distinct, word_d, pair_d, 1 - mass, *counts[:2], starts, *counts[2:])
     answers = told.where("b is not null").selectExpr("b", "cast(0 as byte) kind", "words blob", "counts more", "cast(0 as long) base")
     tokens = rows.mapInArrow(_tokens_out(routes), "b int, kind byte, blob binary, more binary, base long")
     both = answers.unionByName(tokens).repartition(parts, "b").sortWithinPartitions("b", "kind")
     found = store(both.mapInArrow(_evaluate(routes, scale), _SUMS), "sums")
     weights = found.where("kind = 2").groupBy("hot").agg(F.sum("mass").alias("m"), F.sum("words").alias("w")).collect()  # a row for each hot history
-    log_back = np.zeros(len(routes.hot))
+    masses = _hot_masses(routes, scale)
     for r in weights:
-        log_back[r["hot"]] = np.log10(max(1 - r["m"], 1e-300) / max(1 - r["w"], 1e-300))
+        masses[:, r["hot"]] += r["m"], r["w"]
+    log_back = np.log10(np.maximum(1 - masses[0], 1e-300) / np.maximum(1 - masses[1], 1e-300))
     ranges = found.where("kind <> 2").select("d", "kind", "blob").repartition(parts, "d").sortWithinPartitions("d", F.xxhash64("blob"))
     total = ranges.mapInArrow(_finish(log_back), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return total.select("doc_id", (remainder("doc_id", modulus) == held).alias("held_out"), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
