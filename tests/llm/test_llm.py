@@ -287,6 +287,16 @@ def test_line_dedup_odd_rows(odd, docs_of):
     assert texts == {1: ("One two three.\n\nkeep me", 23), 2: ("\nother line", 11), None: ("one two three.", 14), 3: (None, 0)}
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_line_dedup_keeps_the_first_of_repeated_rows(docs_of, parts):
+    same, other = "one two three four five\nsix seven eight nine ten\n", "quite other words than these\nalpha beta gamma delta epsilon"
+    docs = docs_of((1, same), (1, same), (1, other), (2, other), (1, same), (3, "lines of a third text")).repartition(parts)
+    got = Counter((r["doc_id"], r["text"]) for r in line_dedup.without_repeats(docs).collect())
+    assert got == {(1, same): 1, (1, ""): 2, (1, other): 1, (2, ""): 1, (3, "lines of a third text"): 1}
+    removed = {r["doc_id"]: (r["n_lines"], r["removed"]) for r in line_dedup.dedup(docs).collect()}
+    assert removed == {1: (8, [3, 4, 6, 7]), 2: (2, [0, 1]), 3: (1, [])}
+
+
 # 5 url filter
 def test_url_parts_and_rules(spark, labels_of):
     urls = ["http://Example.ORG/es/x?q#f", "https://a.example.org/en/12", "https://b.org/", "http://c.org", "x://d.com/fr/://", "y://com/de/", None, "no scheme", "http://notorg/", "http://example.org/ES/", "http://Ä.Org?x/", "http://e.net/a#?b"]

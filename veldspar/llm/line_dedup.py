@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldspar.llm.blobs import groups, put, runs, take
@@ -73,15 +73,15 @@ class Sets:
         return np.add.reduceat(mixed, self.starts), np.bitwise_xor.reduceat(scrambled(mixed + _M1), self.starts)
 
 
-def _sets(docs: list[int], texts: list[str | None], chosen: np.ndarray | None = None) -> Sets:
-    """Sets of the lines with a word; with ``chosen`` (marks by place) only of lines whose place is marked."""
+def _sets(part: pa.RecordBatch, texts: list[str | None], chosen: np.ndarray | None = None) -> Sets:
+    """Sets of the lines with a word of rows (doc, text, at: number of the first line); with ``chosen`` (marks by place) only of lines whose place is marked."""
     raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     lines = np.array([r.count(b"\n") + 1 for r in raws], np.int64)
     raw = np.frombuffer(b"\n".join(raws), np.uint8)
     starts, hashes = hashed_words(raw)
     at = np.searchsorted(np.flatnonzero(raw == 10), starts)  # the line of each word, counted through all texts
-    doc = np.repeat(np.array(docs, np.int64), lines)
-    line = np.arange(len(doc)) - np.repeat(np.cumsum(lines) - lines, lines)
+    doc = np.repeat(part.column(0).to_numpy(), lines)
+    line = np.arange(len(doc)) - np.repeat(np.cumsum(lines) - lines - part.column(2).to_numpy(), lines)
     if chosen is not None:
         mine = chosen[_place(doc, line)][at]
         at, hashes = at[mine], hashes[mine]
@@ -129,7 +129,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary()]
     for batch in batches:
         for part, texts in slices(batch, 1, 2048, 4_000_000):
-            own = _sets(part.column(0).to_pylist(), texts)
+            own = _sets(part, texts)
             k1, k2 = own.keys()
             order = np.lexsort((own.line, k2, k1, own.doc))
             same = np.zeros(len(order), bool)
@@ -161,7 +161,7 @@ def _second_pass(counts: np.ndarray, percent: int, parts: int, asking: np.ndarra
         marks = None if asking is None else [np.unpackbits(a).astype(bool) for a in asking]
         for batch in batches:
             for part, texts in slices(batch, 1, 2048, 4_000_000):
-                rows = _prefixes(_sets(part.column(0).to_pylist(), texts), counts, percent, known, marks)
+                rows = _prefixes(_sets(part, texts), counts, percent, known, marks)
                 if len(known) > 200_000:
                     known.clear()
                 if rows is not None:
@@ -179,12 +179,13 @@ def _second_pass(counts: np.ndarray, percent: int, parts: int, asking: np.ndarra
 def _prefixes(own: Sets, counts: np.ndarray, percent: int, known: dict, marks: list | None) -> list[np.ndarray] | None:
     k1, k2 = own.keys()
     keep = own.size >= _SMALL  # a smaller set is similar to equal ones only
-    for i, key in enumerate(zip(k1.tolist(), k2.tolist(), own.doc.tolist(), strict=True)):
+    for i, key in enumerate(zip(k1.tolist(), k2.tolist(), own.doc.tolist(), own.line.tolist(), strict=True)):
         if keep[i]:
-            if known.get(key[:2], key[2] + 1) <= key[2]:
-                keep[i] = False  # this task has sent the set for an earlier document
+            at = known.get(key[:2])
+            if at is not None and at <= key[2:]:
+                keep[i] = False  # this task has sent the set for an earlier line
             else:
-                known[key[:2]] = key[2]
+                known[key[:2]] = key[2:]
     if not keep.any():
         return None
     whole = np.repeat(keep, own.size)
@@ -322,7 +323,7 @@ def _word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         hit = np.unpackbits(there).astype(bool)
         for batch in batches:
             for part, texts in slices(batch, 1, 2048, 4_000_000):
-                own = _sets(part.column(0).to_pylist(), texts, hit)
+                own = _sets(part, texts, hit)
                 words = pa.ListArray.from_arrays(pa.array(np.r_[own.starts, len(own.hashes)].astype(np.int32)), pa.array(own.hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(own.doc), pa.array(own.line.astype(np.int32)), words], names=["d", "l", "words"])
 
@@ -337,19 +338,43 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("xw") + F.size("yw") - common)).select(F.col("xd").alias("doc"), F.col("xl").alias("line")).distinct()
 
 
-def removed_lines(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(``docs`` with _at, the number of each row's first line; the ids (_r) of several rows or None).
+
+    Rows that share an id are numbered on in the order of their texts, so that (id, line) is one line of one row. Equal
+    rows may take each other's numbers: their lines are the same. Only rows of such ids are moved for this.
+    """
+    ids = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").alias("_r"))
+    ids = store(ids.groupBy("_r").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_r"), "repeated")
+    if ids.isEmpty():
+        return docs.withColumn("_at", F.lit(0)), None
+    shared = docs.join(ids, F.col("doc_id") == F.col("_r"), "left_semi")
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
+    earlier = Window.partitionBy("doc_id").orderBy("text").rowsBetween(Window.unboundedPreceding, -1)
+    shared = shared.withColumn("_at", F.coalesce(F.sum(n).over(earlier), F.lit(0)).cast("int"))
+    rest = docs.join(ids, F.col("doc_id") == F.col("_r"), "left_anti").withColumn("_at", F.lit(0))
+    return rest.union(shared), ids
+
+
+def removed_lines(docs: DataFrame, percent: int = 80, rows: tuple[DataFrame, DataFrame | None] | None = None) -> tuple[DataFrame, DataFrame]:
     """(removed (doc, line), all (doc, line)): lines, counted from 0, that go, and those with a word, of documents with an id.
 
-    Lines without a word never go. Rows that share an id count as one document. Rows without an id are left out:
-    they lose nothing and remove nothing. Null and empty texts have no lines; an empty table gives empty results.
+    Lines without a word never go. Rows that share an id count as one document, whose lines are ``numbered`` on from
+    row to row: of equal rows the first one keeps its lines. Rows without an id are left out: they lose nothing and
+    remove nothing. Null and empty texts have no lines; an empty table gives empty results.
     """
-    own = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), "text")
+    own, repeated = rows or numbered(docs)
+    own = own.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), "text", "_at")
     first = store(own.mapInArrow(_first_pass, _LINES), "lines")
     counts = place_counts(first.where(F.col("slice").isNotNull()))
     lines = first.where(F.col("slice").isNull()).select("k1", "k2", "doc", "line", "copy")
     inside = lines.where("copy").select("doc", "line")
     copies = lines.where("not copy").groupBy("k1", "k2").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     equal = lines.where("not copy").join(copies, ["k1", "k2"]).where(F.col("doc") > F.col("least")).select("doc", "line")
+    if repeated is not None:  # the same set in several rows of an id, which no slice need hold together
+        several = lines.where("not copy").join(repeated, F.col("doc") == F.col("_r"), "left_semi")
+        first_of = several.groupBy("k1", "k2", "doc").agg(F.min("line").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        inside = inside.union(several.join(first_of, ["k1", "k2", "doc"]).where(F.col("line") > F.col("least")).select("doc", "line"))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
     def candidates(limit: int | None, asking: list | None = None) -> DataFrame:
@@ -381,7 +406,7 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFr
 def dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_lines (with a word), n_removed, removed (line numbers from 0, in order): a row for each distinct id of ``docs``.
 
-    Lines of rows that share an id are counted together.
+    Lines of rows that share an id are counted together and numbered on from row to row, in the order of their texts.
     """
     removed, lines = removed_lines(docs, percent)
     ids = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc")).distinct()
@@ -393,10 +418,11 @@ def dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 def without_repeats(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs``, all columns, with the removed lines cut out of the texts and ``n_chars``, if there, counted anew."""
-    removed, _ = removed_lines(docs, percent)
+    rows = numbered(docs)
+    removed, _ = removed_lines(docs, percent, rows)
     by_doc = removed.groupBy(F.col("doc").alias("_d")).agg(F.collect_list("line").alias("_gone"))
-    out = docs.join(by_doc, F.col("doc_id") == F.col("_d"), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    out = rows[0].join(by_doc, F.col("doc_id") == F.col("_d"), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i + F.col("_at"))), "\n")
     out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
