@@ -25,12 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldspar.llm.blobs import groups, put, runs, take
-from veldspar.llm.common import hashed_words, slices, store
+from veldspar.llm.common import drop, hashed_words, slices, spread_join, store
 from veldspar.llm.components import components
-from veldspar.llm.line_dedup import PLACES, Sets, needed, place_counts, prefix_length, scrambled, slice_blobs
+from veldspar.llm.line_dedup import Sets, needed, prefix_length, scrambled, sets_of
+from veldspar.llm.rarity import Ranks, Sums, parts_for, ranks, total_of
 
 CHUNK = 4096
-ROWS = 300_000
+ROWS = 200_000
+#: Shingles of all documents for each partition of prefixes.
+SHINGLES_A_PART = 3_000_000
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,51 +51,47 @@ def shingle_sets(docs: list[int], texts: list[str | None], width: int) -> Sets:
         inside = begins + k < ends[begins]
         word = h[np.minimum(begins + k, max(0, len(h) - 1))]
         value = np.where(inside, scrambled((value ^ word) * _M1 + np.uint64(k + 1)), value)
-    at = at[begins]
-    order = np.argsort(value)
-    order = order[np.argsort(at[order].astype(np.uint16) if len(raws) < 2**16 else at[order], kind="stable")]
-    at, value = at[order], value[order]
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1]) | (value[1:] != value[:-1])
-    at, value = at[new], value[new]
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
-    doc = np.array(docs, np.int64)[at[first]]
-    return Sets(doc, np.zeros(len(doc), np.int64), np.diff(np.r_[first, len(at)]), value)
+    at, size, value = sets_of(at[begins], value)
+    return Sets(np.array(docs, np.int64)[at], np.zeros(len(at), np.int64), size, value)
 
 
-_KEYS = "k1 long, k2 long, doc long, slice int, blob binary"
+_KEYS = "k1 long, k2 long, doc long, n long, slice int, blob binary"
 
 
 def _keys(width: int):
-    """A row for each document with a word, then the task's shingle counts."""
+    """A row for each document with a word (n: its shingles), then the task's shingle counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(PLACES, np.int64)
-        names = ["k1", "k2", "doc", "slice", "blob"]
+        sums, names = Sums(), ["k1", "k2", "doc", "n", "slice", "blob"]
+
+        def counts(all_of: bool) -> pa.RecordBatch:
+            found = sums.rows(all_of)
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(found), pa.int64()) for _ in range(4)), pa.array([r[0] for r in found], pa.int32()), pa.array([r[1] for r in found], pa.binary())], names=names)
+
         for batch in batches:
-            for part, texts in slices(batch, 1, 2048, 4_000_000):
+            for part, texts in slices(batch, 1, 2048, 2_000_000):
                 own = shingle_sets(part.column(0).to_pylist(), texts, width)
                 k1, k2 = own.keys()
-                counts += np.bincount((own.hashes % np.uint64(PLACES)).astype(np.int64), minlength=PLACES)
-                columns = [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(own.doc)]
+                sums.add(own.hashes)
+                columns = [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(own.doc), pa.array(own.size.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(k1), pa.int32()), pa.nulls(len(k1), pa.binary())], names=names)
-        blobs = list(slice_blobs(counts))
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(blobs), pa.int64()) for _ in range(3)), pa.array([b[0] for b in blobs], pa.int32()), pa.array([b[1] for b in blobs], pa.binary())], names=names)
+                yield counts(False)
+        yield counts(True)
 
     return run
 
 
-def _prefixes(own: Sets, component: np.ndarray, counts: np.ndarray, usual: int, percent: int, chunk: int) -> list[np.ndarray]:
+def _prefixes(own: Sets, component: np.ndarray, rarity: Ranks, percent: int, chunk: int) -> list[np.ndarray]:
     """Prefix shingles: group, side, document, component, size, position, signature."""
     owner = np.repeat(np.arange(len(own.size)), own.size)
     bit = np.uint64(1) << ((own.hashes >> np.uint64(40)) % np.uint64(64))
     parity = np.bitwise_xor.reduceat(bit, own.starts) if len(bit) else np.zeros(0, np.uint64)
-    often = counts[(own.hashes % np.uint64(PLACES)).astype(np.int64)].astype(np.uint64)
-    order = np.lexsort((own.hashes, often, owner))
+    rank = rarity.of(own.hashes)
+    order = np.lexsort((own.hashes, rank, owner))
     pos = np.arange(len(order)) - own.starts[owner]
     chosen = pos < prefix_length(own.size, percent)[owner]
-    word, often, who, pos = own.hashes[order][chosen], often[order][chosen].astype(np.int64), owner[chosen], pos[chosen]
-    k = np.maximum(1, -(-(often - usual) // chunk))  # what a place has beyond the usual is this shingle's own
+    word, often, who, pos = own.hashes[order][chosen], rarity.own(rank[order][chosen]), owner[chosen], pos[chosen]
+    k = np.maximum(1, -(-often // chunk))
     mine = (scrambled(own.doc.astype(np.uint64) * _M1)[who] % k.astype(np.uint64)).astype(np.int64)
     again = np.repeat(np.arange(len(word)), k)
     other = np.arange(len(again)) - np.repeat(np.cumsum(k) - k, k)
@@ -103,7 +102,7 @@ def _prefixes(own: Sets, component: np.ndarray, counts: np.ndarray, usual: int,
     return [group, (part > other).astype(np.uint8), own.doc[w], component[w], own.size[w], pos[again], parity[w]]
 
 
-def _send(counts: np.ndarray, usual: int, percent: int, width: int, parts: int, chunk: int):
+def _send(rarity: Ranks, percent: int, width: int, parts: int, chunk: int):
     def dealt(held: list[list[np.ndarray]]) -> pa.RecordBatch:
         columns = [np.concatenate([h[i] for h in held]) for i in range(7)]
         columns[4:6] = [c.astype(np.int32 if max(columns[4].max(), columns[5].max()) < 2**31 else np.int64) for c in columns[4:6]]
@@ -112,18 +111,18 @@ def _send(counts: np.ndarray, usual: int, percent: int, width: int, parts: int,
         return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["b", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n, most = [], 0, max(ROWS, min(256 * parts, 1_500_000))
         for batch in batches:
-            for part, texts in slices(batch, 1, 2048, 4_000_000):
+            for part, texts in slices(batch, 1, 2048, 2_000_000):
                 # sets of the batch's rows by row number first, so that rows of one id stay apart
                 own = shingle_sets(list(range(part.num_rows)), texts, width)
                 if not len(own.doc):
                     continue
                 row, ids, comps = own.doc, part.column(0).to_numpy(), part.column(2).to_numpy()
                 own.doc = ids[row]
-                held.append(_prefixes(own, comps[row], counts, usual, percent, chunk))
+                held.append(_prefixes(own, comps[row], rarity, percent, chunk))
                 n += len(held[-1][0])
-                if n > ROWS:
+                if n > most:
                     yield dealt(held)
                     held, n = [], 0
         if held:
@@ -205,15 +204,18 @@ def _verified(pairs: DataFrame, own: DataFrame, percent: int, width: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, 1, 2048, 4_000_000):
+            for part, texts in slices(batch, 1, 2048, 2_000_000):
                 s = shingle_sets(list(range(part.num_rows)), texts, width)
                 found = pa.ListArray.from_arrays(pa.array(np.r_[s.starts, len(s.hashes)].astype(np.int32)), pa.array(s.hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy()[s.doc]), found], names=["doc", "words"])
 
-    sets = store(own.select("doc", "text").join(wanted, "doc", "left_semi").mapInArrow(run, "doc long, words array<long>"), "shingles")
-    both = pairs.join(sets.selectExpr("doc x", "words xw"), "x").join(sets.selectExpr("doc y", "words yw"), "y")
+    sets = store(own.select("doc", "text").join(wanted, "doc", "left_semi").mapInArrow(run, "doc long, words array<long>"), "shingles", "none")
+    both = spread_join(pairs, sets.selectExpr("doc y", "words yw"), ["y"]).join(sets.selectExpr("doc x", "words xw"), "x")
     common = F.size(F.array_intersect("xw", "yw"))
-    return both.where(100 * common >= percent * (F.size("xw") + F.size("yw") - common)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    both = both.where(100 * common >= percent * (F.size("xw") + F.size("yw") - common)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    found = store(both, "similar")
+    drop(sets)
+    return found
 
 
 def joined(docs: DataFrame, found: DataFrame, width: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
@@ -224,22 +226,26 @@ def joined(docs: DataFrame, found: DataFrame, width: int = 5, percent: int = 80,
     an id count as one document that has the links of each row. Rows without an id, and null and empty texts, have
     no links of their own; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), "text")
     first = store(texts.mapInArrow(_keys(width), _KEYS), "shingle-keys")
-    counts = place_counts(first.where(F.col("slice").isNotNull()))
-    usual = int(np.median(counts))
-    equal = store(first.where(F.col("slice").isNull()).groupBy("k1", "k2").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")), "shingle-classes")
-    same = first.where(F.col("slice").isNull()).join(equal.where("n > 1"), ["k1", "k2"]).select(F.col("doc").alias("a"), F.col("least").alias("b"))
+    keys = first.where(F.col("slice").isNull()).select("k1", "k2", "doc", "n")
+    total = total_of(first, "n")
+    rarity = ranks(first.where(F.col("slice").isNotNull()), total)
+    equal = store(keys.groupBy("k1", "k2").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")), "shingle-classes")
+    same = spread_join(keys.drop("n"), equal.where("n > 1").drop("n"), ["k1", "k2"]).select(F.col("doc").alias("a"), F.col("least").alias("b"))
     known = found.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("a"), F.col("component_id").cast("long").alias("b"))
     links = store(known.union(same).where("a <> b").distinct(), "known-links")
     own = store(texts.join(equal.select(F.col("least").alias("doc")).distinct(), "doc", "left_semi"), "shingle-texts")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    drop(first, equal)
+    parts = parts_for(docs, total, SHINGLES_A_PART)
     for closest in (True, False):
         now = components(links).select(F.col("node").alias("doc"), F.col("root").alias("component"))
         rows = own.join(now, "doc", "left").select("doc", "text", F.coalesce("component", "doc").alias("component"))
-        sent = rows.mapInArrow(_send(counts, usual, percent, width, parts, chunk), "b int, blob binary")
+        sent = rows.mapInArrow(_send(rarity, percent, width, parts, chunk), "b int, blob binary")
         pairs = sent.repartition(parts, "b").sortWithinPartitions("b").mapInArrow(_compare(percent, closest), "x long, y long, far long")
-        pairs = pairs.groupBy("x").agg(F.min_by("y", F.struct("far", "y")).alias("y")) if closest else pairs.select("x", "y").distinct()
-        links = store(links.union(_verified(store(pairs, "pairs"), own, percent, width)).distinct(), "links")
+        pairs = store(pairs.groupBy("x").agg(F.min_by("y", F.struct("far", "y")).alias("y")) if closest else pairs.select("x", "y").distinct(), "pairs")
+        similar, before = _verified(pairs, own, percent, width), links
+        links = store(before.union(similar).distinct(), "links")
+        drop(pairs, similar, before)
+    drop(own)
     return components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
