@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -141,14 +140,20 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashed_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, 64-bit hash) of each word in the bytes ``raw``, A-Z in lower case: sums of byte values times powers by place, stirred.
+    """(start, 64-bit hash) of each word in the bytes ``raw``, A-Z in lower case: sums of byte values times powers by place, stirred."""
+    starts, h, _ = hashed_parts(raw, _WHITE)
+    return starts, h
+
+
+def hashed_parts(raw: np.ndarray, white: np.ndarray, lengths: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(start, hash) of each word between the bytes that ``white`` marks; and for each of ``lengths``, which words are as long, with the hashes of so many first bytes.
 
     Running sums over blocks, of which a word takes the difference at its ends, scaled back by the power of its start.
     """
-    inside = ~_WHITE[raw]
+    inside = ~white[raw]
     turn = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
     starts, ends = turn[::2], turn[1::2]
-    h = np.empty(len(starts), np.uint64)
+    h, heads = np.empty(len(starts), np.uint64), [np.zeros(len(starts), np.uint64) for _ in lengths]
     power, back = _powers()
     cuts = np.unique(np.r_[np.searchsorted(starts, np.arange(0, len(raw), _BLOCK)), len(starts)])
     for i, j in zip(cuts, cuts[1:], strict=False):
@@ -160,26 +165,18 @@ def hashed_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         total = np.empty(high - low + 1, np.uint64)
         total[0] = 0
         np.cumsum(_BYTE[raw[low:high]] * power_of[: high - low], out=total[1:])
-        h[i:j] = (total[ends[i:j] - low] - total[starts[i:j] - low]) * back_of[starts[i:j] - low]
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) + (ends - starts).astype(np.uint64)
-    return starts, h ^ (h >> np.uint64(29))
-
-
-class WordHash(dict):
-    """word -> 64-bit hash, remembered up to ``bound`` words."""
-
-    def __init__(self, bound: int = 400_000, seed: int = 7):
-        super().__init__()
-        self.bound, self.seed = bound, seed
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word, self.seed)
-        return found
-
-    def of(self, found: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
+        first, scale = total[starts[i:j] - low], back_of[starts[i:j] - low]
+        h[i:j] = (total[ends[i:j] - low] - first) * scale
+        for n, head in zip(lengths, heads, strict=True):
+            head[i:j] = (total[np.minimum(starts[i:j] + n, ends[i:j]) - low] - first) * scale
+    size = ends - starts
+    stirred = [_stirred(h, size), *(_stirred(head, n << 32) for n, head in zip(lengths, heads, strict=True))]
+    return starts, stirred[0], [(np.flatnonzero(size >= n), head[size >= n]) for n, head in zip(lengths, stirred[1:], strict=True)]
+
+
+def _stirred(h: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) + np.asarray(salt).astype(np.uint64)
+    return h ^ (h >> np.uint64(29))
 
 
 def slices(batch: pa.RecordBatch, text: int, most_rows: int = 2048, most_chars: int = 8_000_000) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:

@@ -11,13 +11,12 @@ A. pairs with training counts by history: counts of counts, and the distinct wor
 B. these requests by word: word counts, and the answers, stored by the partition that asked;
 C. tokens by history, with the answers: pair counts, back-off weights, and sums for each document.
 
-A history that a bounded sample shows as frequent is spread over several partitions by the next word (and a frequent
+There are as many partitions as the input asks for. A history that a bounded sample shows as frequent is spread over several partitions by the next word (and a frequent
 pair by document); its back-off weight is put together from those partitions' sums. The sample steers nothing else.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,11 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldspar.llm.blobs import groups, put, runs, take
-from veldspar.llm.common import WordHash, lower_words, remainder, slices, store, table
+from veldspar.llm.common import drop, hashed_words, lean, remainder, slices, store, table
+from veldspar.llm.rarity import parts_for
 
 START, END = 1, 2
 TOP = 5
-TOKENS = 600_000
+CHARS = 3_500_000
+#: Tokens of the whole corpus for each partition of histories.
+TOKENS_A_PART = 1_500_000
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -53,6 +55,11 @@ class Routes:
     pair_h: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     pair_w: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
 
+    @property
+    def chars(self) -> int:
+        """Characters a chunk: more where there are many partitions, so that blobs stay of a useful size."""
+        return max(CHARS, min(1500 * self.parts, 4 * CHARS))
+
     @property
     def common(self) -> np.ndarray:
         """Words every partition has to know: hot histories and the words of hot pairs, which are hot themselves or the end."""
@@ -93,30 +100,23 @@ def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(c > TOP, c, c * d[np.minimum(c, TOP)])
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]]:
-    """Chunks (h, w, row, train, documents (row, id, tokens)) of columns row, doc_id, text, train."""
-    hashes, chunk, documents, size = WordHash(), [], [], 0
+def _tokens(batches: Iterator[pa.RecordBatch], chars: int = CHARS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]]:
+    """Chunks (h, w, row, train, documents (row, id, tokens)) of columns row, doc_id, text, train, of some ``chars`` characters each."""
     for batch in batches:
-        for part, texts in slices(batch, 2, 512):
-            for row, doc, text, train in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, part.column(3).to_pylist(), strict=True):
-                found = lower_words(text)
-                seq = np.empty(len(found) + 2, np.uint64)
-                seq[0], seq[-1] = START, END
-                seq[1:-1] = hashes.of(found)
-                chunk.append(seq)
-                documents.append((row, doc, len(seq) - 1, train))
-                size += len(seq)
-                if size >= TOKENS:
-                    yield _joined(chunk, documents)
-                    chunk, documents, size = [], [], 0
-    if chunk:
-        yield _joined(chunk, documents)
-
-
-def _joined(chunk: list, documents: list) -> tuple:
-    n = np.array([len(s) - 1 for s in chunk])
-    h, w = np.concatenate([s[:-1] for s in chunk]), np.concatenate([s[1:] for s in chunk])
-    return h, w, np.repeat([d[0] for d in documents], n), np.repeat([bool(d[3]) for d in documents], n), documents
+        for part, texts in slices(batch, 2, 1 << 20, chars):
+            raws = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+            starts, found = hashed_words(np.frombuffer(b"\n".join(raws), np.uint8))
+            of = np.searchsorted(np.cumsum([len(r) + 1 for r in raws]), starts, side="right")
+            n = np.bincount(of, minlength=len(raws))
+            first = np.cumsum(n + 2) - (n + 2)  # each text: the start, its words, the end
+            seq = np.empty(int((n + 2).sum()), np.uint64)
+            seq[first], seq[first + n + 1] = START, END
+            seq[np.arange(len(found)) + 2 * of + 1] = np.where(found <= np.uint64(END), found + np.uint64(END + 1), found)
+            is_start, is_end = np.zeros(len(seq), bool), np.zeros(len(seq), bool)
+            is_start[first], is_end[first + n + 1] = True, True
+            rows, train = part.column(0).to_numpy(), np.array(part.column(3).to_pylist(), bool)
+            documents = list(zip(rows.tolist(), part.column(1).to_pylist(), (n + 1).tolist(), strict=True))
+            yield seq[~is_end], seq[~is_start], np.repeat(rows, n + 1), np.repeat(train, n + 1), documents
 
 
 def _short(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +127,7 @@ def _short(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _pairs_out(routes: Routes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, w, _, train, _ in _tokens(batches):
+        for h, w, _, train, _ in _tokens(batches, routes.chars):
             key, first, inverse = np.unique(_mix(h, w), return_index=True, return_inverse=True)
             count = np.bincount(inverse, train, len(key)).astype(np.uint32)
             h, w = h[first], w[first]
@@ -190,7 +190,7 @@ def _tokens_out(routes: Routes):
     """Rows (b, kind 1, blob, first row) of tokens, and (b, kind 2) of the documents themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, w, row, train, documents in _tokens(batches):
+        for h, w, row, train, documents in _tokens(batches, routes.chars):
             base = int(row.min())
             part = routes.of(h, w, _mix(h, w), row)
             mark = ((row - base) << 1 | train).astype(np.uint64)
@@ -357,25 +357,37 @@ def _finish(log_back: np.ndarray):
     return run
 
 
-def _routes(docs: DataFrame, parts: int, sample: int = 1000) -> Routes:
-    """Hot histories and pairs of the first ``sample`` documents by hash: those with over a quarter of a partition's share."""
-    rows = docs.select("row", "doc_id", "text", "train").orderBy(F.xxhash64("doc_id"), "row").limit(sample)
-    words, pairs, of_pair, size = Counter(), Counter(), {}, 0
-    for batch in rows.toArrow().to_batches():
-        for h, w, *_ in _tokens(iter([batch])):
-            words.update(dict(zip(*(x.tolist() for x in np.unique(h, return_counts=True)), strict=True)))
-            key, first, n = np.unique(_mix(h, w), return_index=True, return_counts=True)
-            pairs.update(dict(zip(key.tolist(), n.tolist(), strict=True)))
-            of_pair |= dict(zip(key.tolist(), zip(h[first].tolist(), w[first].tolist(), strict=True), strict=True))
-            size += len(h)
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts (h, w, n) of histories (w null) and of pairs."""
+    for h, w, *_ in _tokens(batches):
+        names, n = np.unique(h, return_counts=True)
+        _, first, m = np.unique(_mix(h, w), return_index=True, return_counts=True)
+        both = pa.concat_arrays([pa.nulls(len(names), pa.int64()), pa.array(w[first].view(np.int64))])
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[names, h[first]].view(np.int64)), both, pa.array(np.r_[n, m])], names=["h", "w", "n"])
+
+
+def _routes(docs: DataFrame, parts: int | None, sample: int = 1000) -> Routes:
+    """Partitions from the tokens of some ``sample`` documents by hash, and hot histories and pairs: those with over a quarter of a
+    partition's share there. They are counted in the cluster; at most four of either kind for each partition come here."""
+    every = max(1, docs.count() // sample)
+    rows = docs.where(F.pmod(F.xxhash64("doc_id", "row"), F.lit(every)) == 0).select("row", "doc_id", "text", "train")
+    counts = store(rows.mapInArrow(_sampled, "h long, w long, n long").groupBy("h", "w").agg(F.sum("n").alias("n")), "sampled")
+    size = int(counts.where("w is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    parts = parts or parts_for(docs, size * every, TOKENS_A_PART)
+    found = counts.where((F.col("n") >= 20) & (4 * parts * F.col("n") > size)).collect()
+    drop(counts)
+
+    def unsigned(values: list[int]) -> np.ndarray:
+        return np.array(values, np.int64).view(np.uint64)
 
-    def hot(found: Counter) -> tuple[np.ndarray, np.ndarray]:
-        chosen = sorted((x, n) for x, n in found.items() if n >= 20 and 4 * parts * n > size)
-        return np.array([x for x, _ in chosen], np.uint64), np.array([min(parts, -(-4 * parts * n // size)) for _, n in chosen], np.uint64)
+    def spread(values: list[int]) -> np.ndarray:
+        return np.array([min(parts, -(-4 * parts * n // size)) for n in values], np.uint64)
 
-    names, spread = hot(pairs)
-    found = [of_pair[x] for x in names.tolist()]
-    return Routes(parts, *hot(words), names, spread, np.array([x[0] for x in found], np.uint64), np.array([x[1] for x in found], np.uint64))
+    hot, pairs = ([r for r in found if (r["w"] is None) == single] for single in (True, False))
+    names, h, w = unsigned([r["h"] for r in hot]), unsigned([r["h"] for r in pairs]), unsigned([r["w"] for r in pairs])
+    key, by_name = _mix(h, w), np.argsort(names)
+    by_key = np.argsort(key)
+    return Routes(parts, names[by_name], spread([r["n"] for r in hot])[by_name], key[by_key], spread([r["n"] for r in pairs])[by_key], h[by_key], w[by_key])
 
 
 def score(docs: DataFrame, modulus: int = 5, held: int = 1, parts: int | None = None) -> DataFrame:
@@ -385,20 +397,20 @@ def score(docs: DataFrame, modulus: int = 5, held: int = 1, parts: int | None =
     text is an empty one: its only token is the end. Repeated rows are scored row by row; without training rows every
     word is unknown and has probability 1; an empty table gives an empty result. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", (remainder("doc_id", modulus) != held).alias("train"))
     routes = _routes(rows, parts)
+    parts = routes.parts
     pairs = rows.mapInArrow(_pairs_out(routes), "b int, blob binary").repartition(parts, "b").sortWithinPartitions("b")
-    asked = store(pairs.mapInArrow(_ask(routes), _ASK), "asked")
+    asked = store(pairs.mapInArrow(lean(_ask(routes)), _ASK), "asked")
     pair_n, hot_pairs = np.zeros(TOP + 3, np.int64), {}
-    for r in asked.where("kind = 1").select("words", "counts", "n").toLocalIterator():
+    for r in asked.where("kind = 1").select("words", "counts", "n").collect():  # a short row for each partition
         pair_n += np.array(r["n"])
         hot_pairs |= dict(zip(take(bytes(r["words"]))[0].tolist(), take(bytes(r["counts"]))[0].tolist(), strict=True))
     told = asked.where("kind = 0").select("wb", "b", "words", "counts").repartition(parts, "wb").sortWithinPartitions("wb")
-    told = store(told.mapInArrow(_answer(routes), "b int, words binary, counts binary, n array<long>"), "answers")
+    told = store(told.mapInArrow(lean(_answer(routes)), "b int, words binary, counts binary, n array<long>"), "answers")
+    drop(asked)
     sums, common = np.zeros(TOP + 3 + 2, np.int64), {}
-    for r in told.where("b is null").select("words", "counts", "n").toLocalIterator():
+    for r in told.where("b is null").select("words", "counts", "n").collect():  # a short row for each partition
         sums += np.array(r["n"])
         common |= dict(zip(take(bytes(r["words"]))[0].tolist(), take(bytes(r["counts"]))[0].tolist(), strict=True))
     n_tokens, distinct = int(sums[TOP + 3]), int(sums[TOP + 4])
@@ -412,7 +424,8 @@ def score(docs: DataFrame, modulus: int = 5, held: int = 1, parts: int | None =
     answers = told.where("b is not null").selectExpr("b", "cast(0 as byte) kind", "words blob", "counts more", "cast(0 as long) base")
     tokens = rows.mapInArrow(_tokens_out(routes), "b int, kind byte, blob binary, more binary, base long")
     both = answers.unionByName(tokens).repartition(parts, "b").sortWithinPartitions("b", "kind")
-    found = store(both.mapInArrow(_evaluate(routes, scale), _SUMS), "sums")
+    found = store(both.mapInArrow(lean(_evaluate(routes, scale)), _SUMS), "sums")
+    drop(told)
     weights = found.where("kind = 2").groupBy("hot").agg(F.sum("mass").alias("m"), F.sum("words").alias("w")).collect()  # a row for each hot history
     masses = _hot_masses(routes, scale)
     for r in weights:
