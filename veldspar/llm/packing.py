@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from veldspar.llm.common import store, table
 from veldspar.llm.mixing import words_in
+from veldspar.llm.simhash import with_component
 
 CAPACITY = 2048
 PER_SOURCE = 4
@@ -64,26 +65,31 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     packed row by row; an empty table gives an empty result. Other columns are ignored.
     """
     cluster = F.col(cluster_col).cast("string") if cluster_col else F.xxhash64("text").cast("string")
-    items = docs.select("doc_id", F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("words"), cluster.alias("cluster"))
-    items = store(items.withColumn("row", F.monotonically_increasing_id()), "items")  # written, so each row keeps its number
+    items = docs.select("doc_id", F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("words"), cluster.alias("cluster"), F.xxhash64("text").alias("h"))
+    # rows equal in all of these may take each other's place: counted before the shuffle, then told apart by number, so that
+    # the result doesn't depend on how the rows are partitioned, and many copies of a row are spread over the shards
+    items = items.groupBy("doc_id", "source", "words", "cluster", "h").agg(F.count(F.lit(1)).alias("n"))
+    items = store(items.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n"), "items")
+    items = items.withColumn("tie", F.xxhash64("doc_id", "source", "cluster", "h", "row"))
     shards = max(1, -(-items.count() // shard))
     whole, rest = F.floor(F.col("words") / capacity).cast("long"), (F.col("words") % capacity).cast("long")
-    full = items.where(whole > 0).select("doc_id", "row", F.explode(F.sequence(F.lit(0).cast("long"), whole - 1)).alias("piece"))
-    full = full.select("doc_id", "piece", F.lit(capacity).cast("long").alias("size"), F.concat(F.lit("full-"), F.col("row").cast("string"), F.lit("-"), F.col("piece").cast("string")).alias("bin"), F.lit(0).cast("long").alias("offset"))
+    full = items.where(whole > 0).select("doc_id", "tie", F.explode(F.sequence(F.lit(0).cast("long"), whole - 1)).alias("piece"))
+    full = full.select("doc_id", "piece", F.lit(capacity).cast("long").alias("size"), F.concat(F.lit("full-"), F.hex("tie"), F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("-"), F.col("piece").cast("string")).alias("bin"), F.lit(0).cast("long").alias("offset"))
     empty = items.where("words = 0").select("doc_id", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("string").alias("bin"), F.lit(None).cast("long").alias("offset"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "tie", "row"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["size", "tie", "doc_id", "row"], ascending=[False, True, True, True], kind="stable")
         clusters = [None if pd.isna(c) else c for c in pdf["cluster"]]
         found = best_fit(pdf["size"].tolist(), [None if pd.isna(s) else s for s in pdf["source"]], clusters, capacity, per_source)
         return pd.DataFrame({"doc_id": pdf["doc_id"].array, "piece": pdf["piece"].array, "size": pdf["size"].array, "bin": [f"{key[0]}-{b}" for b, _ in found], "offset": [o for _, o in found]})
 
-    parts = items.where(rest > 0).select(F.col("doc_id").cast("string").alias("doc_id"), "source", "cluster", "row", whole.alias("piece"), rest.alias("size"), F.xxhash64("doc_id", "cluster").alias("tie"))
-    parts = parts.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
+    parts = items.where(rest > 0).select(F.col("doc_id").cast("string").alias("doc_id"), "source", "cluster", "row", whole.alias("piece"), rest.alias("size"), "tie")
+    parts = parts.withColumn("shard", F.pmod(F.xxhash64("tie"), F.lit(shards)).cast("int"))
     packed = parts.groupBy("shard").applyInPandas(run, "doc_id string, piece long, size long, bin string, offset long")
     packed = packed.withColumn("doc_id", F.col("doc_id").cast("long"))  # as text, pandas keeps null and large ids apart
     return packed.unionByName(full).unionByName(empty)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    """Duplicate clusters are SimHash's components, three words a shingle and three bits of difference: near copies keep apart, too."""
+    return pack(with_component(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "_cluster"), cluster_col="_cluster")

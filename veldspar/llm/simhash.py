@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.llm.common import annotate, lower_words, store, table
+from veldspar.llm.common import annotate, drop, fresh, lower_words, spread_join, store, table
 from veldspar.llm.components import components
 from veldspar.llm.shingle_links import joined
 
@@ -172,11 +172,25 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     """
     marked = store(fingerprints(docs.select("doc_id", "text"), width), "fingerprints").withColumnRenamed("fingerprint_bits", "f")
     prints = store(marked.groupBy("f").agg(F.min("doc_id").alias("least")), "prints")
-    found = components(links(prints.select("f"), radius))
-    own = prints.join(found.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
+    own = prints.join(_roots(prints.select("f"), radius), "f", "left").withColumn("root", F.coalesce("root", "f"))
     firsts = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = own.join(firsts, "root").select("f", "component_id")
-    return marked.join(named, "f").select("doc_id", hexed(F.col("f")).alias("fingerprint"), "component_id")
+    named = store(own.join(firsts, "root").select("f", "component_id"), "named")
+    drop(prints)
+    return spread_join(marked, named, ["f"]).select("doc_id", hexed(F.col("f")).alias("fingerprint"), "component_id")
+
+
+def _roots(prints: DataFrame, radius: int) -> DataFrame:
+    """(f, root) of the fingerprints that have a link."""
+    return components(links(prints, radius)).withColumnRenamed("node", "f")
+
+
+def with_component(docs: DataFrame, name: str, radius: int = 3, width: int = 3, text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with ``name``: the least fingerprint reachable, the same for all rows of a near-duplicate group."""
+    bits, f = fresh(docs, "_bits"), fresh(docs, "_f")
+    marked = store(annotate(docs, lambda texts: [np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)], f"`{bits}` long", text_col, keep_text=True), "fingerprints")
+    found = store(_roots(marked.select(F.col(bits).alias("f")).distinct(), radius).select(F.col("f").alias(bits), F.col("root").alias(f)), "roots")
+    out = spread_join(marked, found, [bits], "left")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c != name], F.coalesce(f, bits).alias(name))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,10 +201,25 @@ def keep_first(docs: DataFrame, radius: int = 3, width: int = 5, percent: int =
     """``docs``, all columns, with one row of each group of near-duplicates: that of its smallest doc_id.
 
     Groups are SimHash components, joined further by every pair of documents whose sets of ``width``-word shingles
-    have a Jaccard similarity of ``percent`` % or more. An id that comes several times stays once. Rows without an id
-    cannot be named and stay as they are; null and empty texts are one group; an empty table stays empty.
+    have a Jaccard similarity of ``percent`` % or more. Rows that share an id are documents of their own, in the order of
+    their texts: those that differ stay. Rows without an id cannot be named and stay as they are; null and
+    empty texts are one group; an empty table stays empty.
     """
-    named = docs.where(F.col("doc_id").isNotNull())
-    found = joined(named, near_duplicates(named, radius, width).select("doc_id", "component_id"), width, percent)
-    later = store(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "later")
-    return docs.join(later, "doc_id", "left_anti").where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    named, own = docs.where(F.col("doc_id").isNotNull()), fresh(docs, "_own")
+    kept = _numbered(named, own)
+    rows = named.withColumn(own, F.col("doc_id")) if kept is None else kept
+    alike = rows.select(F.col(own).alias("doc_id"), "text")
+    found = joined(alike, near_duplicates(alike, radius, width).select("doc_id", "component_id"), width, percent)
+    later = store(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(own)).distinct(), "later")
+    out = rows.join(later, own, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def _numbered(docs: DataFrame, own: str) -> DataFrame | None:
+    """``docs`` sorted by ranges of (id, text) with ``own``, a number in that order, if an id comes several times; else None."""
+    twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if twice.isEmpty():
+        return None
+    salt = fresh(docs, "_salt")
+    sorted_ = docs.withColumn(salt, F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(F.col("doc_id"), F.col("text"), F.col(salt))
+    return store(sorted_.sortWithinPartitions("doc_id", "text", salt).drop(salt).withColumn(own, F.monotonically_increasing_id()), "numbered")
