@@ -8,10 +8,10 @@ host and path, the longest that fits decides instead.
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veldspar.llm.common import LOWER, store, table
+from veldspar.llm.common import LOWER, spread_join, store, table
 
 #: Host and path rules: (host, path, verdict).
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -62,31 +62,48 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(domains, named, keys, rest))
 
 
-def mine(marked: DataFrame, support: float = 0.001, confidence: float = 0.8, longest: int = 4, least_rows: int = 10) -> DataFrame:
-    """Rules (rule, tokens, n, confidence, support) with the consequent BAD, from rows (tokens, bad).
+_RULES = "rule long, n int, confidence double, support double, classes array<string>"
 
-    At most ``longest`` - 1 tokens a rule, and at least ``least_rows`` bad rows behind it. A rule at least as confident with fewer tokens makes a longer one needless only in
-    size, not in verdict, so all stay. Without bad rows there are no rules.
+
+def mine(marked: DataFrame, support: float = 0.001, confidence: float = 0.8, least_rows: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Rules (rule, n, confidence, support, classes) with the consequent BAD, and the members (class, token) of the classes, from rows (tokens, bad).
+
+    Tokens that are in exactly the same rows form a class, named by its least token: rules over any of them have the same
+    support and confidence, so only classes are mined, and a rule matches where each of its classes has a token. A class
+    in all rows can't change a rule's figures and is a rule by itself at most. Rules need ``support`` of the rows, and at
+    least ``least_rows`` bad ones, behind them; they may be of any length. Nested but unequal token sets are mined as they
+    are. Without bad rows there are no rules.
     """
-    baskets = marked.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
-    baskets = store(baskets.where(F.size("items") > 0), "baskets")
-    if baskets.isEmpty():
-        return marked.sparkSession.createDataFrame([], "rule long, tokens array<string>, n int, confidence double, support double")
-    bad = baskets.where(F.array_contains("items", BAD))
-    # A rule "tokens -> BAD" counts rows with all its tokens; those can only hold tokens that are frequent among bad rows.
-    rows, bad_rows = baskets.count(), bad.count()
+    spark = marked.sparkSession
+    rows = store(marked.select(F.monotonically_increasing_id().alias("b"), "tokens", "bad").where(F.size("tokens") > 0), "baskets")
+    total, bad_rows = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("bad").cast("int")), F.lit(0))).first()
+    none = spark.createDataFrame([], _RULES), spark.createDataFrame([], "class string, token string")
     if not bad_rows:
-        return marked.sparkSession.createDataFrame([], "rule long, tokens array<string>, n int, confidence double, support double")
-    least = max(float(least_rows), support * rows)
-    often = bad.select(F.explode("items").alias("t")).groupBy("t").count().where(F.col("count") >= least).select("t")
-    inside = baskets.withColumn("_b", F.monotonically_increasing_id()).select("_b", F.explode("items").alias("t")).join(often, "t").groupBy("_b").agg(F.collect_list("t").alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / rows), minConfidence=confidence).fit(inside.select("items"))
-    sets = model.freqItemsets.where(F.size("items") <= longest)
-    sets = sets.select(F.array_sort("items").alias("items"), "freq")
-    with_bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("tokens"), F.col("freq").alias("both"))
-    rules = with_bad.join(sets.withColumnRenamed("items", "tokens"), "tokens").withColumn("confidence", F.col("both") / F.col("freq"))
-    rules = rules.where(F.col("confidence") >= confidence)
-    return store(rules.select(F.xxhash64("tokens").alias("rule"), "tokens", F.size("tokens").alias("n"), "confidence", (F.col("both") / rows).alias("support")), "rules")
+        return none
+    least = max(float(least_rows), support * total)
+    pairs = rows.select("b", "bad", F.explode(F.array_distinct("tokens")).alias("token"))
+    # A rule "tokens -> BAD" counts rows with all its tokens, so only tokens that are frequent among bad rows can be in one.
+    often = pairs.groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("int")).alias("n_bad"),
+        F.sum(F.xxhash64("b").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64("b", F.lit(1))).alias("s2"),
+    ).where((F.col("n_bad") >= least) & F.col("token").isNotNull())
+    same = Window.partitionBy("n", "s1", "s2")
+    members = store(often.select(F.min("token").over(same).alias("class"), "token", "n", "n_bad"), "classes")
+    names = members.where((F.col("token") == F.col("class")) & (F.col("n") < total)).select("token")
+    small = members.count() <= BROADCAST_RULES
+    chosen = pairs.select("b", "token").join(F.broadcast(names), "token") if small else spread_join(store(pairs.select("b", "token"), "tokens"), names, ["token"])
+    items = chosen.groupBy("b").agg(F.collect_list("token").alias("items")).join(rows.select("b", "bad"), "b")
+    items = store(items.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")), "items")
+    whole = members.where((F.col("token") == F.col("class")) & (F.col("n") == total))
+    found = whole.select(F.array("class").alias("classes"), F.col("n").alias("freq"), F.col("n_bad").alias("both"))
+    if not items.isEmpty():
+        sets = FPGrowth(itemsCol="items", minSupport=min(1.0, least / items.count()), minConfidence=confidence).fit(items).freqItemsets
+        sets = store(sets.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
+        with_bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("items"), F.col("freq").alias("both"))
+        found = found.unionByName(with_bad.join(sets, "items").select(F.col("items").alias("classes"), "freq", "both"))
+    rules = found.withColumn("confidence", F.col("both") / F.col("freq")).where((F.col("confidence") >= confidence) & (F.col("both") >= least))
+    rules = rules.select(F.xxhash64("classes").alias("rule"), F.size("classes").alias("n"), "confidence", (F.col("both") / total).alias("support"), "classes")
+    return store(rules, "rules"), members.select("class", "token")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, **options: float) -> DataFrame:
@@ -102,11 +119,15 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, **options:
     rows = rows.withColumn("tokens", tokens_of(F.col("url"), F.col("host"), F.col("path"))).withColumn("_row", F.monotonically_increasing_id())
     rows = store(rows.drop("url"), "urls")
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    found = mine(rows.join(marks.where(F.col("bad").isNotNull()), "page_id").select("tokens", "bad"), **options)
-    index = found.select("rule", "n", "confidence", F.explode("tokens").alias("token"))
-    small = found.count() <= BROADCAST_RULES
+    found, members = mine(rows.join(marks.where(F.col("bad").isNotNull()), "page_id").select("tokens", "bad"), **options)
+    index = store(found.select("rule", "n", "confidence", F.explode("classes").alias("class")).join(members, "class"), "index")
     probes = rows.select("_row", F.explode("tokens").alias("token"))
-    hits = probes.join(F.broadcast(index) if small else index, "token").groupBy("_row", "rule").agg(F.count(F.lit(1)).alias("_m"), F.first("n").alias("_n"), F.first("confidence").alias("_c"))
+    if index.count() <= BROADCAST_RULES:
+        hits = probes.join(F.broadcast(index), "token")
+    else:
+        hits = spread_join(store(probes, "probes"), index, ["token"])
+    hits = hits.groupBy("_row", "rule", "class").agg(F.first("n").alias("_n"), F.first("confidence").alias("_c"))
+    hits = hits.groupBy("_row", "rule").agg(F.count(F.lit(1)).alias("_m"), F.first("_n").alias("_n"), F.first("_c").alias("_c"))
     matched = hits.where(F.col("_m") == F.col("_n")).groupBy("_row").agg(F.max("_c").alias("score"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     out = rows.drop("tokens").join(matched, "_row", "left")
