@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veldspar.llm.common import WORD, store, table
+from veldspar.llm.common import WORD, fresh, store, table
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -95,14 +95,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def blend(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, as the mix uses them: repeated or left out, range-sorted by training position.
 
-    Uses of one document lie ``source_size / target`` of its source's demand apart. Rows equal in id and text share a decision.
+    Uses of one document lie ``source_size / target`` of its source's demand apart. Rows equal in id, source and text share a decision.
     """
-    plan = mix(docs).where(F.col("times") > 0).groupBy("doc_id", "_h").agg(F.max("times").alias("_times"), F.min("position").alias("_position"), F.max(F.col("source_size") / F.col("target")).alias("_lag"))
-    plan = plan.select(F.col("doc_id").alias("_i"), F.col("_h").alias("_g"), "_times", "_position", "_lag")
-    kept = docs.withColumn("_h", F.xxhash64("text")).join(plan, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")))
-    used = kept.withColumn("_use", F.explode(F.sequence(F.lit(0), F.col("_times").cast("int") - 1)))
-    used = used.withColumn("_at", F.least(F.col("_position") + F.col("_use") * F.col("_lag"), F.lit(1.0)))
-    return used.repartitionByRange(F.col("_at"), F.col("doc_id")).sortWithinPartitions("_at", "doc_id").select(*docs.columns)
+    h, i, s, g, times, position, lag, use, at = (fresh(docs, x) for x in ("_hash", "_i", "_source", "_g", "_times", "_position", "_lag", "_use", "_at"))
+    plan = mix(docs).where(F.col("times") > 0).groupBy("doc_id", "source", "_h").agg(F.max("times").alias(times), F.min("position").alias(position), F.max(F.col("source_size") / F.col("target")).alias(lag))
+    plan = plan.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("_h").alias(g), times, position, lag)
+    kept = docs.withColumn(h, F.xxhash64("text")).join(plan, F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(h) == F.col(g)))
+    used = kept.withColumn(use, F.explode(F.sequence(F.lit(0), F.col(times).cast("int") - 1)))
+    used = used.withColumn(at, F.least(F.col(position) + F.col(use) * F.col(lag), F.lit(1.0)))
+    return used.repartitionByRange(F.col(at), F.col("doc_id")).sortWithinPartitions(at, "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

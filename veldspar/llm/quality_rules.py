@@ -7,7 +7,6 @@ a tree. Statistics come from one pass over the whole texts.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,15 +43,7 @@ def statistics(text: str | None) -> tuple[list[int], list[float]]:
             lines += 1
             dup += line in seen
             seen.add(line)
-    repeat = 0
-    if n > 5:
-        windows = list(zip(found, found[1:], found[2:], found[3:], found[4:], strict=False))
-        if len(set(windows)) < len(windows):
-            often, end = Counter(windows), 0
-            for i, w in enumerate(windows):
-                if often[w] > 1:
-                    repeat += i + 5 - max(i, end)
-                    end = i + 5
+    repeat = repeated_words(found)
     size = max(1, len(raw))
     features = [
         np.log1p(n), word_chars / max(1, n), symbols / max(1, word_chars), dup / max(1, lines), repeat / max(1, n),
@@ -62,6 +53,29 @@ def statistics(text: str | None) -> tuple[list[int], list[float]]:
     return [n, word_chars, symbols, dup, repeat], features
 
 
+def repeated_words(found: list[bytes], width: int = 5) -> int:
+    """Words in ``width``-word windows that come twice or more, the first one included.
+
+    Words are numbered, then pairs of runs are, exactly: a long text needs a few integers a word.
+    """
+    if len(found) <= width:
+        return 0
+    number: dict[bytes, int] = {}
+    word = np.fromiter((number.setdefault(w, len(number)) for w in found), np.int64, len(found))
+    if len(number) == len(found):
+        return 0
+    window, length = word, 1
+    while length < width:
+        step = min(length, width - length)  # windows that overlap cover the longer one as well
+        window = np.unique(window[:-step] * (int(window.max()) + 1) + window[step:], return_inverse=True)[1]
+        length += step
+    often = np.bincount(window)[window] > 1
+    inside = np.zeros(len(found) + 1, np.int64)
+    np.add.at(inside, np.flatnonzero(often), 1)
+    np.add.at(inside, np.flatnonzero(often) + width, -1)
+    return int((np.cumsum(inside)[:-1] > 0).sum())
+
+
 @dataclass
 class Trees:
     """Flat trees: node arrays of shape (trees, nodes); a complete tree of ``depth`` levels, leaves last."""

@@ -177,12 +177,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, depth: int = 64,
 
     Score is the cosine in double precision on the original vectors; ties go to the smaller id; a row is not a
     candidate for the query of its own id. Vectors that are null, zero, or hold null or non-finite components
-    take no part; vectors are compared with those of their own length only. An id that comes twice is used as the
-    queries' first and may be found twice. Fewer than ``k`` candidates: all are returned. Empty tables give an
-    empty result; other columns are ignored. ``block`` queries are sent to the tasks at a time.
+    take no part; vectors are compared with those of their own length only. An id that comes twice is asked
+    once, with its least vector, and may be found twice. Fewer than ``k`` candidates: all are returned. Empty tables give an
+    empty result; other columns are ignored. ``block`` queries are sent to the tasks at a time, and each
+    is compared with every code, so work grows with queries times rows: a whole-table search is for the index's scan.
     """
     spark = vectors.sparkSession
-    rows, asked = store(_usable(vectors, id_col, vec_col), "vectors"), _usable(queries, id_col, vec_col).dropDuplicates(["id"])
+    rows = store(_usable(vectors, id_col, vec_col), "vectors")
+    asked = store(_usable(queries, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v")), "queries")
     found = []
     for (dim,) in [tuple(r) for r in asked.select(F.size("v")).distinct().collect()]:
         made, index = build(rows.where(F.size("v") == dim), sample)
@@ -197,7 +199,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, depth: int = 64,
             found.append(store(best, "nearest"))
             ids.clear(), block_v.clear()
 
-        for r in asked.where(F.size("v") == dim).toLocalIterator():  # one block at a time is held
+        for r in asked.where(F.size("v") == dim).toLocalIterator():  # one block, of bounded size, is held at a time
             ids.append(r["id"]), block_v.append(r["v"])
             if len(ids) == block:
                 flush()
