@@ -180,3 +180,108 @@ def test_sinks_and_streams(spark, tmp_path):
     spark.range(3).selectExpr("cast(id as string) id").write.parquet(str(tmp_path / "in"))
     append(node_stream(spark, str(tmp_path / "in"), "id string"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_inserts_updates_and_limits(spark):
+    db = Database(spark)
+    assert db.query("INSERT INTO product (name, price) VALUES ('Widget, or so', 9.5), ('B', 4)").first()[0] == 2
+    assert db.query("INSERT INTO product VALUES (1, 'x')").first()[0] == 1
+    got = {(r["name"], r["col1"]) for r in db.types["product"].collect()}
+    assert got == {("Widget, or so", None), ("B", None), (None, "x")}
+    assert db.query("SELECT * FROM product", limit=2).count() == 2
+    db.query("UPDATE product SET name = concat('me where, ', name), price = price * 2 WHERE name = 'B'")
+    assert db.query("SELECT price FROM product WHERE name = 'me where, B'").first()[0] == 8
+    assert db.query("DELETE FROM product WHERE name IS NULL OR price > 9").first()[0] == 2
+    with pytest.raises(ValueError):
+        db.query("INSERT INTO product (a, b) VALUES (1)")
+    with pytest.raises(ValueError):
+        db.query("UPDATE product SET nonsense")
+
+
+def test_edges_with_properties_and_errors(spark, tmp_path):
+    db = Database(spark, "people")
+    a, b = db.insert_batch("person", [{"name": "A"}, {"name": "B"}])
+    e = db.create_edge(a, b, "follows", {"since": "2024"})
+    db.create_edges_batch([(b, a, "knows"), (b, a, "knows", {"weight": 2})])
+    assert db.get_edge(e)["since"] == "2024" and db.get_edge("none") is None
+    assert sorted((r["edge_type"], r["weight"] or 0) for r in db.get_edges_from(b).collect()) == [("knows", 0), ("knows", 2)]
+    with pytest.raises(ValueError):
+        db.get("not-a-valid-uuid")
+    with pytest.raises(KeyError):
+        db.update("00000000-0000-0000-0000-000000000000", {"name": "x"})
+    assert db.get("00000000-0000-0000-0000-000000000000") is None and db.delete("00000000-0000-0000-0000-000000000000") is False
+    with pytest.raises(ValueError):
+        db.insert("person", "not valid json")
+    db.insert("person", '{"name": "C"}')
+    db.schema.create("person", "name:string:required, kind:enum(a, b)")
+    db.create_fulltext_index("person", "name")
+    db.save(str(tmp_path / "db"))
+    again = Database.open(spark, str(tmp_path / "db"))
+    assert again.name == "people" and again.get(a)["name"] == "A" and again.edges.count() == 3
+    assert again.schema.schemas == db.schema.schemas and again.list_fulltext_indexes() == [("person", "name")]
+
+
+def test_many_changes_keep_plans_short(spark):
+    db = Database(spark)
+    node = db.insert("thing", {"n": 0})
+    for i in range(1, 90):
+        db._changed("thing", db.types["thing"].withColumn("n", F.lit(i)))
+    assert db.get(node)["n"] == 89
+    assert db.types["thing"]._jdf.queryExecution().logical().toString().count("Project") < 45
+
+
+def test_statement_conditions_that_are_no_list():
+    found = statements.parse("VECTOR SEARCH d FIELD v FOR [1] WHERE a = 1 OR b = 'LIMIT 3' LIMIT 2")
+    assert found.conditions == () and found.expression == "a = 1 OR b = 'LIMIT 3'" and found.limit == 2
+    assert statements.parse("delete ") == "delete "
+    with pytest.raises(ValueError):
+        statements.parse("VECTOR SEARCH d FIELD v FOR [1] nonsense")
+    with pytest.raises(ValueError):
+        statements.conditions("a = 1 OR b = 2")
+
+
+def test_lookups_reach_the_scan(spark, sf_dir):
+    from veldspar.operators import relational
+    from veldspar.sources.tables import edges, nodes
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(o_orderkey,7)" in plan(relational.get(nodes(spark, sf_dir, "orders"), "orders:7"))
+    assert "EqualTo(o_custkey,1)" in plan(edges(spark, sf_dir, src=["customer:1"])) and "nation.parquet" not in plan(edges(spark, sf_dir, src=["customer:1"], types=["placed"]))
+    assert "In(c_custkey" in plan(relational.multi_get(spark, nodes(spark, sf_dir, "customer"), ["customer:1", "customer:2"])) or "EqualTo(c_custkey" in plan(relational.multi_get(spark, nodes(spark, sf_dir, "customer"), ["customer:1", "customer:2"]))
+    assert relational.get(nodes(spark, sf_dir, "orders"), "orders:7x").count() == 0
+
+
+def test_stored_text_index(spark, sf_dir):
+    from veldspar.operators import fulltext
+    from veldspar.sources.tables import nodes
+
+    docs = nodes(spark, sf_dir, "documents").select("id", "type", "text")
+    index = fulltext.StoredIndex(docs, "text")
+    word = index.postings.groupBy("token").count().orderBy(F.desc("count"), "token").first()["token"]
+    assert [tuple(r) for r in index.search(f"the {word} {word}", 5).collect()] == [tuple(r) for r in fulltext.search(docs, "text", f"the {word} {word}", 5).collect()]
+    plan = index.of([word])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "bucket").replace("(bucket#", "bucket").replace("[isnotnull", "[bucket") and f"EqualTo(token,{word})" in plan
+    assert index.search("the").count() == 0 and index.documents() == fulltext.indexed_documents(docs, "text")
+
+
+def test_readers_and_envelopes(spark, tmp_path):
+    import json
+
+    from veldspar.functions import keys
+    from veldspar.sources import tables
+
+    (tmp_path / "a.csv").write_text("x,y\n1,\"b, c\"\n")
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/one.txt").write_text("two\nlines")
+    assert [tuple(r) for r in tables.read_csv(spark, str(tmp_path / "a.csv")).collect()] == [("1", "b, c")]
+    assert [r["content"] for r in tables.read_texts(spark, str(tmp_path / "t")).collect()] == ["two\nlines"]
+    sinks.write_csv(spark.createDataFrame([(1, 'q"')], "a int, b string"), str(tmp_path / "out"))
+    assert spark.read.csv(str(tmp_path / "out"), header=True, escape="\\").first()["a"] == "1"
+    got = json.loads(sinks.envelope(spark.createDataFrame([(1, None)], "a int, b string")))
+    assert (got["columns"], got["rows"], got["rows_affected"]) == (["a", "b"], [[1, None]], 0) and got["execution_time_ms"] >= 0
+    ranked = spark.createDataFrame([(1, "x", 0.5, 3, "d")], "rank int, content string, score double, estimated_tokens long, doc string")
+    assert json.loads(rag.to_json(ranked, "q", "doc").first()[0]) == {"query": "q", "total_tokens": 3, "chunks": [{"content": "x", "score": 0.5, "document_id": "d"}]}
+    points = keys.ring(4, 20)
+    spread = {r[0]: r[1] for r in spark.range(400).groupBy(keys.ring_shard(F.col("id").cast("string"), points).alias("s")).count().collect()}
+    fewer = spark.range(400).select("id", keys.ring_shard(F.col("id").cast("string"), points).alias("a"), keys.ring_shard(F.col("id").cast("string"), [p for p in points if p[1] != 3]).alias("b"))
+    assert set(spread) == {0, 1, 2, 3} and fewer.where("a <> 3 AND a <> b").count() == 0  # a shard that goes moves only its own keys

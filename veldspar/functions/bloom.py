@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,9 +23,26 @@ class Bloom:
 
     def _at(self, item: str | bytes) -> np.ndarray:
         raw = item.encode() if isinstance(item, str) else item
-        a, b = xxhash.xxh3_64_intdigest(raw, 0), xxhash.xxh3_64_intdigest(raw, 1) | 1
+        a, b = (_signed(xxhash.xxh64_intdigest(x, 42)) % self.m for x in (raw, raw + b"\x01"))
         return np.array([(a + i * b) % self.m for i in range(self.k)])
 
+    def positions(self, item: Column) -> Column:
+        """The cells of a string or binary column, as an array: the same ones as for a value here."""
+        raw = item.cast("binary")
+        a, b = (F.pmod(F.xxhash64(x), F.lit(self.m)) for x in (raw, F.concat(raw, F.lit(b"\x01"))))
+        return F.array(*[F.pmod(a + i * b, F.lit(self.m)) for i in range(self.k)])
+
+    def has(self, item: Column) -> Column:
+        """Whether a column's values may be in the filter: hashes by the engine, bits looked up in Arrow batches."""
+        bits = np.packbits(self.cells > 0)
+
+        @F.pandas_udf("boolean")
+        def look(at: pd.Series) -> pd.Series:
+            cells = np.stack(at.to_numpy()) if len(at) else np.zeros((0, 1), np.int64)
+            return pd.Series(((bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1).all(1))
+
+        return F.when(item.isNull(), F.lit(None).cast("boolean")).otherwise(look(F.coalesce(self.positions(item), F.array(F.lit(0).cast("long")))))
+
     def add(self, items: Iterable[str | bytes]) -> Bloom:
         for x in items:
             self.cells[self._at(x)] = 1
@@ -67,17 +84,15 @@ class CountingBloom(Bloom):
 
 
 def build(df: DataFrame, column: str, expected: int, rate: float = 0.01) -> Bloom:
-    """A filter over all rows: one per partition, of a size fixed by ``expected``, merged in the cluster by slices."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Bloom(expected, rate)
-        for pdf in batches:
-            own.add(x for x in pdf["v"] if x is not None)
-        cells = np.flatnonzero(own.cells)
-        yield pd.DataFrame({"cell": cells.astype(np.int64)})
-
+    """A filter over all rows but nulls: cells are hashed and gathered to bitmaps of 4 KB by the engine, of which m / 32768 come to the driver."""
     made = Bloom(expected, rate)
-    cells = df.select(F.col(column).cast("string").alias("v")).mapInPandas(run, "cell long").distinct()
-    for r in cells.toLocalIterator():
-        made.cells[r["cell"]] = 1
+    cells = df.where(F.col(column).isNotNull()).select(F.explode(made.positions(F.col(column).cast("string"))).alias("cell"))
+    bitmaps = cells.groupBy(F.bitmap_bucket_number(F.col("cell") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("cell") + 1)).alias("bits"))
+    for r in bitmaps.collect():
+        found = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little"))
+        made.cells[found + (r["bucket"] - 1) * 32768] = 1
     return made
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +22,21 @@ def shard_of(key: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
 
 
+def ring(shards: int, places: int = 150) -> list[tuple[int, int]]:
+    """(hash, shard) of ``places`` virtual nodes for each shard, in the order of hashes."""
+    made = [(xxhash.xxh64_intdigest(f"{s}:{i}".encode(), 42), s) for s in range(shards) for i in range(places)]
+    return sorted((h - (1 << 64) if h >> 63 else h, s) for h, s in made)
+
+
+def ring_shard(key: Column, points: list[tuple[int, int]]) -> Column:
+    """The shard of a key: that of the first point of the ring at or after its hash, or of the first point. The ring is a literal.
+    """
+    hashes, shards = F.array(*[F.lit(h) for h, _ in points]), F.array(*[F.lit(s) for _, s in points])
+    h = F.xxhash64(key)
+    before = F.size(F.filter(hashes, lambda x: x < h))
+    return F.element_at(shards, F.when(before >= len(points), 1).otherwise(before + 1).cast("int"))
+
+
 def as_int(value: Column) -> Column:
     return value.cast("long")
 

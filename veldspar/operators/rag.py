@@ -140,7 +140,9 @@ class TermEmbedder:
 
     def column(self, text: Column) -> Column:
         words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+")
-        counts = F.transform(F.array(*[F.lit(w) for w in self.vocabulary]), lambda v: F.size(F.filter(words, lambda w: w == v)).cast("float"))
+        hits = F.filter(words, lambda w: w.isin(*self.vocabulary))  # one pass; bound once, then counted for each word
+        names = F.array(*[F.lit(w) for w in self.vocabulary])
+        counts = F.element_at(F.transform(F.array(hits), lambda h: F.transform(names, lambda v: F.size(F.filter(h, lambda w: w == v)).cast("float"))), 1)
         return V.normalize(counts)
 
 
@@ -228,6 +230,14 @@ def text_only(context: DataFrame) -> DataFrame:
     return context.agg(F.array_join(F.transform(ordered, lambda x: x["content"]), "\n\n").alias("text"))
 
 
+def to_json(context: DataFrame, query: str, doc_col: str | None = None, index_col: str | None = None) -> DataFrame:
+    """One JSON text of a context: query, total_tokens, chunks with content, score, and document and index where there are such columns."""
+    parts = ["rank", "content", "score"]
+    chunk = F.struct(*parts, *[F.col(c).alias(n) for c, n in ((doc_col, "document_id"), (index_col, "chunk_index")) if c])
+    chunks = F.transform(F.array_sort(F.collect_list(chunk)), lambda x: x.dropFields("rank"))
+    return context.agg(F.to_json(F.struct(F.lit(query).alias("query"), F.coalesce(F.sum("estimated_tokens"), F.lit(0)).alias("total_tokens"), chunks.alias("chunks"))).alias("json"))
+
+
 def ingest(docs: DataFrame, made: HashEmbedder | TermEmbedder | RemoteEmbedder, size: int = 512, overlap: int = 50, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """Fixed chunks with embeddings."""
     chunks = chunk_fixed(docs, size, overlap, id_col, text_col)

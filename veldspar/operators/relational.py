@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.functions.keys import node_id
+from veldspar.functions.keys import node_id, shard_of
 from veldspar.operators.predicates import Condition, where
+from veldspar.sources.tables import key_of
 
 
 def by_type(nodes: DataFrame, kind: str, limit: int | None = None) -> DataFrame:
@@ -32,16 +34,28 @@ def select(df: DataFrame, columns: Sequence[str] | None = None, conditions: Sequ
 
 
 def get(nodes: DataFrame, ref: str) -> DataFrame:
-    """The node of a full id, or of a bare id or path."""
+    """The node of a full id, or of a bare id or path. A full id of a table with its key columns is looked up by these."""
+    key = key_of(ref, nodes)
+    if key is not None:
+        return nodes.where(key).where(F.col("id") == ref)
     return nodes.where((F.col("id") == ref) | (node_id(F.col("id")) == node_id(F.lit(ref))) & (~F.lit(":" in ref)))
 
 
 def multi_get(spark: SparkSession, nodes: DataFrame, ids: Sequence[str]) -> DataFrame:
     """``pos`` and the nodes of ``ids`` in their order; ids that are not there give nulls."""
     asked = spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "pos int, id string")
+    found = [key_of(x, nodes) for x in dict.fromkeys(ids)]
+    known = [x for x in found if x is not None]
+    if known and len(known) == len(found):
+        nodes = nodes.where(reduce(Column.__or__, known))
     return asked.join(nodes, "id", "left").orderBy("pos")
 
 
+def shard_scan(nodes: DataFrame, shards: int, limit: int) -> DataFrame:
+    """At most ``limit`` nodes over all shards, in the order of (shard, id): never fewer than there are."""
+    return nodes.withColumn("shard", shard_of(F.col("id"), shards)).orderBy("shard", "id").limit(limit)
+
+
 def union_types(frames: Sequence[DataFrame], conditions: Sequence[Condition] = ()) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

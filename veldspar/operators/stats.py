@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldspar.functions.keys import shard_of
+from veldspar.operators.graph import kept
 
 
 def status(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -35,6 +36,22 @@ def shards(nodes: DataFrame, n: int = 16) -> DataFrame:
     return nodes.groupBy(shard_of(F.col("id"), n).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def shard_totals(nodes: DataFrame, edges: DataFrame, n: int = 16) -> DataFrame:
+    """shard, node_count, edge_count, size_bytes of every shard, by ids and sources; the row without a shard holds the totals."""
+    own = sorted(c for c in nodes.columns if c not in ("id", "type"))
+    size = F.octet_length(F.to_json(F.struct(*own))) if own else F.lit(0)
+    both = nodes.select(shard_of(F.col("id"), n).alias("shard"), F.lit(1).alias("v"), F.lit(0).alias("e"), size.alias("s"))
+    both = both.union(edges.select(shard_of(F.col("src"), n), F.lit(0), F.lit(1), F.lit(0)))
+    sums = [F.sum(c).cast("long").alias(a) for c, a in (("v", "node_count"), ("e", "edge_count"), ("s", "size_bytes"))]
+    return both.rollup("shard").agg(*sums)
+
+
+def tiered(meta: DataFrame, hot: int) -> DataFrame:
+    """tier, n, bytes: payloads (payload_size) in the hot tier, of at most ``hot`` bytes each, and in the cold one."""
+    tier = F.when(F.col("payload_size") <= hot, "hot").otherwise("cold")
+    return meta.groupBy(tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"), F.sum("payload_size").cast("long").alias("bytes"))
+
+
 def graph_stats(links: DataFrame) -> DataFrame:
     """num_vectors, total, average and largest number of connections of an index's (src, dst) table."""
     by = links.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
@@ -46,8 +63,15 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 
 def eviction_candidates(meta: DataFrame, cap: int, least: int = 256, share: float = 0.8) -> DataFrame:
-    """Payloads to evict, oldest first, until what is left fits in ``share`` of ``cap``: id, payload_size, freed."""
+    """Payloads to evict, oldest first, until what is left fits in ``share`` of ``cap``: id, payload_size, freed.
+
+    Running sums have two levels: rows are sorted by ranges, sums of whole ranges go ahead of those inside one.
+    """
     total = meta.agg(F.coalesce(F.sum("payload_size"), F.lit(0))).first()[0]
-    order = Window.orderBy("updated_at", "id").rowsBetween(Window.unboundedPreceding, -1)
-    big = meta.where(F.col("payload_size") >= least).withColumn("before", F.coalesce(F.sum("payload_size").over(order), F.lit(0)))
+    big = meta.where(F.col("payload_size") >= least).repartitionByRange("updated_at", "id").withColumn("range", F.spark_partition_id())
+    big = kept(big, "ranges")
+    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    ranges = big.groupBy("range").agg(F.sum("payload_size").alias("s")).withColumn("ahead", F.coalesce(F.sum("s").over(ahead), F.lit(0))).drop("s")
+    inside = Window.partitionBy("range").orderBy("updated_at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    big = big.withColumn("before", F.coalesce(F.sum("payload_size").over(inside), F.lit(0))).join(F.broadcast(ranges), "range").withColumn("before", F.col("before") + F.col("ahead"))
     return big.where(F.lit(total) - F.col("before") > share * cap).select("id", "payload_size", (F.col("before") + F.col("payload_size")).alias("freed"))

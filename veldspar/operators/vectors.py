@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldspar.functions import vector as V
+from veldspar.operators.graph import folder_for
 from veldspar.operators.predicates import Condition, where_present
 
 
@@ -45,7 +46,8 @@ class HyperplaneIndex:
     """Buckets by the signs of random projections; candidates come from a few tables, from the
     query's bucket and those one sign away, and are reranked exactly.
 
-    Signs are computed on the JVM; the planes are a literal of fixed size. ``rebuild`` is a new instance over new rows.
+    Signs are computed on the JVM, once: buckets are written by table and sorted by key, and a search reads those of its keys.
+    The planes are a literal of fixed size. ``rebuild`` is a new instance over new rows.
     """
 
     def __init__(self, nodes: DataFrame, field: str, dim: int, bits: int = 6, tables: int = 16):
@@ -53,7 +55,10 @@ class HyperplaneIndex:
         self.planes = planes(dim, bits, tables)
         keys = [self._key(F.col(field), t) for t in self.planes]
         usable = nodes.where(F.size(field) == dim)
-        self.buckets = usable.select("id", F.posexplode(F.array(*keys)).alias("t", "key"))
+        found = usable.select("id", F.posexplode(F.array(*keys)).alias("t", "key"))
+        path = folder_for(nodes.sparkSession, "planes")
+        found.repartitionByRange("t", "key", "id").sortWithinPartitions("t", "key").write.partitionBy("t").parquet(path)
+        self.buckets = nodes.sparkSession.read.schema(f"id {dict(nodes.dtypes)['id']}, key int, t int").parquet(path).select("id", "t", "key")
 
     @staticmethod
     def _key(v, table: np.ndarray):

@@ -12,8 +12,9 @@ from veldspar.functions import vector as V
 from veldspar.operators import dml, fulltext, graph, rag, relational, stats, vectors
 from veldspar.operators.predicates import Condition
 from veldspar.plans import statements
+from veldspar.plans.facade import Database
 from veldspar.sources import sinks
-from veldspar.sources.tables import edges, id_of, node_ids, nodes, read
+from veldspar.sources.tables import KEYS, all_nodes, edges, id_of, node_ids, nodes, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -105,7 +106,7 @@ def so5_eviction_candidates(spark, sf):
 
 @query("""SELECT printf('  "nation:%d" -> "region:%d" [label="in_region"];', n_nationkey, n_regionkey) AS line FROM nation""")
 def sk4_dot_lines(spark, sf):
-    return sinks.dot(edges(spark, sf).where("edge_type = 'in_region'"))
+    return sinks.dot(edges(spark, sf, types=["in_region"]))
 
 
 # Predicates, projection, order
@@ -189,17 +190,21 @@ def g5_graph_view_edges(spark, sf):
 
 @query("SELECT 'orders:' || o_orderkey AS dst, 'placed' AS edge_type FROM orders WHERE o_custkey = 1 UNION ALL SELECT 'nation:' || c_nationkey, 'in_nation' FROM customer WHERE c_custkey = 1")
 def g6_neighbors_out(spark, sf):
-    return edges(spark, sf).where("src = 'customer:1'").select("dst", "edge_type")
+    return edges(spark, sf, src=["customer:1"]).select("dst", "edge_type")
 
 
 @query("SELECT 'customer:' || c_custkey AS src FROM customer WHERE c_nationkey = 3 UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_nationkey = 3")
 def g6_neighbors_in(spark, sf):
-    return edges(spark, sf).where("dst = 'nation:3'").select("src")
+    return edges(spark, sf, dst=["nation:3"]).select("src")
 
 
 @query("SELECT 'nation:' || n_nationkey AS src, 'region:' || n_regionkey AS neighbours FROM nation")
 def a10_adjacency(spark, sf):
-    return stats.adjacency(edges(spark, sf).where("edge_type = 'in_region'")).select("src", F.array_join("neighbours", ",").alias("neighbours"))
+    return stats.adjacency(edges(spark, sf, types=["in_region"])).select("src", F.array_join("neighbours", ",").alias("neighbours"))
+
+
+def _out(spark, sf):
+    return lambda ids: edges(spark, sf, src=ids)
 
 
 _E = """WITH RECURSIVE e(src, dst, kind) AS (
@@ -211,17 +216,17 @@ _E = """WITH RECURSIVE e(src, dst, kind) AS (
 
 @query(_E + "r(id, depth) AS (SELECT 'customer:1', 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.id WHERE r.depth < 2) SELECT id, min(depth) AS depth FROM r GROUP BY id")
 def g1_bfs_depth2(spark, sf):
-    return graph.traverse(spark, node_ids(spark, sf), edges(spark, sf), ["customer:1"], 2).nodes
+    return graph.traverse(spark, node_ids(spark, sf), edges(spark, sf), ["customer:1"], 2, edges_from=_out(spark, sf)).nodes
 
 
 @query(_E + "r(id, depth) AS (SELECT 'customer:1', 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.id WHERE r.depth < 3 AND e.kind <> 'placed'), d AS (SELECT id, min(depth) AS depth FROM r GROUP BY id) SELECT e.src, e.dst, e.kind AS edge_type FROM e JOIN d ON d.id = e.src WHERE d.depth < 3 AND e.kind <> 'placed'")
 def g7_bfs_edge_filter(spark, sf):
-    return graph.traverse(spark, node_ids(spark, sf), edges(spark, sf), ["customer:1"], 3, ["in_nation", "in_region"]).edges.select("src", "dst", "edge_type")
+    return graph.traverse(spark, node_ids(spark, sf), edges(spark, sf), ["customer:1"], 3, ["in_nation", "in_region"], edges_from=_out(spark, sf)).edges.select("src", "dst", "edge_type")
 
 
 @query(_E + "r(id, depth) AS (SELECT * FROM (VALUES ('customer:1', 0), ('customer:2', 0)) UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.id WHERE r.depth < 2) SELECT id, min(depth) AS depth FROM r GROUP BY id")
 def g4_multi_source_bfs(spark, sf):
-    return graph.traverse(spark, node_ids(spark, sf), edges(spark, sf), ["customer:1", "customer:2"], 2).nodes
+    return graph.traverse(spark, node_ids(spark, sf), edges(spark, sf), ["customer:1", "customer:2"], 2, edges_from=_out(spark, sf)).nodes
 
 
 @query("SELECT 'customer:1>nation:' || c_nationkey || '>region:' || n_regionkey AS path FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 1")
@@ -247,7 +252,7 @@ def g3_components(spark, sf):
 @query("SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM orders) AS node_count, (SELECT count(*) FROM orders) AS edge_count, 2 AS schema_count")
 def a1_status(spark, sf):
     both = nodes(spark, sf, "customer").select("id", "type").union(nodes(spark, sf, "orders").select("id", "type"))
-    return stats.status(both, edges(spark, sf).where("edge_type = 'placed'"))
+    return stats.status(both, edges(spark, sf, types=["placed"]))
 
 
 _T = r"""WITH words AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[^\p{L}\p{N}]+')) AS w FROM documents),
@@ -297,7 +302,7 @@ def a7_shard_stats(spark, sf):
 
 @query("SELECT count(*) AS num_vectors, CAST(sum(n) AS BIGINT) AS total_connections, round(avg(n), 6) AS avg_connections, max(n) AS max_connections FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)")
 def a8_connection_stats(spark, sf):
-    return stats.graph_stats(edges(spark, sf).where("edge_type = 'placed'")).withColumn("avg_connections", F.round("avg_connections", 6))
+    return stats.graph_stats(edges(spark, sf, types=["placed"])).withColumn("avg_connections", F.round("avg_connections", 6))
 
 
 # Vectors
@@ -552,7 +557,7 @@ def f19_bloom_holds_all(spark, sf):
 
 @query("SELECT '    ' || substr('nation:' || n_nationkey, 1, 8) || ' -->|in_region| ' || substr('region:' || n_regionkey, 1, 8) AS line FROM nation")
 def g8_mermaid_lines(spark, sf):
-    return sinks.mermaid(edges(spark, sf).where("edge_type = 'in_region'"))
+    return sinks.mermaid(edges(spark, sf, types=["in_region"]))
 
 
 @query("""SELECT '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' AS value FROM nation""")
@@ -601,6 +606,169 @@ def r15_format_for_llm(spark, sf):
     return rag.format_for_llm(found).select(F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+@query(" UNION ".join(f"SELECT '{kind}:' || {" || ':' || ".join(key)} AS id, '{kind}' AS type FROM {kind}" for kind, key in KEYS.items()))
+def sc7_all_types(spark, sf):
+    return all_nodes(spark, sf)
+
+
+@query("SELECT 'conversations:' || a.conv_id || ':' || a.turn AS src, 'conversations:' || b.conv_id || ':' || b.turn AS dst FROM (SELECT DISTINCT conv_id, turn FROM conversations) a JOIN (SELECT DISTINCT conv_id, turn FROM conversations) b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
+def sc8_next_turns(spark, sf):
+    return edges(spark, sf, types=["next_turn"]).select("src", "dst")
+
+
+@query("SELECT 'customer:' || o_custkey AS src, 'orders:' || o_orderkey AS dst, o_totalprice AS amount, CAST(NULL AS VARCHAR) AS note FROM orders UNION ALL SELECT 'customer:1', 'customer:2', NULL, 'friend'")
+def sc8_edge_properties(spark, sf):
+    db = Database(spark)
+    own = read(spark, sf, "orders")
+    db.register_edges(own.select(id_of("customer", "o_custkey").alias("src"), id_of("orders", "o_orderkey").alias("dst"), F.lit("placed").alias("edge_type"), F.col("o_totalprice").alias("amount")))
+    db.create_edge("customer:1", "customer:2", "knows", {"note": "friend"})
+    return db.edges.select("src", "dst", "amount", "note")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT id) AS ids FROM (SELECT 'orders:' || o_orderkey AS id FROM orders LIMIT 500)")
+def sc11_shard_scan(spark, sf):
+    """Never fewer than the limit, however the shards are filled."""
+    found = relational.shard_scan(nodes(spark, sf, "orders").select("id", "type"), 16, 500)
+    return found.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
+
+
+@query("SELECT 'part:' || p_partkey AS id, p_name FROM part WHERE p_partkey IN (3, 5)")
+def sc5_pushed_lookups(spark, sf):
+    own = nodes(spark, sf, "part")
+    return relational.get(own, "part:3").union(relational.get(own, "part:5")).select("id", "p_name")
+
+
+@query("SELECT 'nation' AS type, count(*) AS node_count, (SELECT count(*) FROM nation) AS edge_count FROM nation")
+def a7_shard_totals(spark, sf):
+    """The totals over all shards; every shard's row is counted in them."""
+    both = stats.shard_totals(nodes(spark, sf, "nation"), edges(spark, sf, types=["in_region"]), 4)
+    parts, total = both.where("shard IS NOT NULL"), both.where("shard IS NULL")
+    sums = parts.agg(F.sum("node_count").alias("nodes"), F.sum("edge_count").alias("links"))
+    same = (F.col("nodes") == F.col("node_count")) & (F.col("links") == F.col("edge_count"))
+    return total.crossJoin(F.broadcast(sums)).where(same).select(F.lit("nation").alias("type"), "node_count", "edge_count")  # one row and one row
+
+
+@query("SELECT CASE WHEN strlen(props) <= 8 THEN 'hot' ELSE 'cold' END AS tier, count(*) AS n, CAST(sum(strlen(props)) AS BIGINT) AS bytes FROM events GROUP BY 1")
+def a9_tiered_stats(spark, sf):
+    return stats.tiered(read(spark, sf, "events").select(F.octet_length("props").cast("long").alias("payload_size")), 8)
+
+
+@query("""SELECT 'nation:' || n_nationkey AS id, CAST(strlen('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') AS INT) AS payload_size FROM nation""")
+def sc6_payload_size(spark, sf):
+    return relational.metadata(nodes(spark, sf, "nation")).select("id", "payload_size")
+
+
+@query("SELECT c_custkey, round(c_acctbal, 2) AS c_acctbal, CASE WHEN c_acctbal < 0 THEN concat('debt, ', c_mktsegment) ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def d3_update_sql(spark, sf):
+    db = Database(spark)
+    db.register("customer_copy", read(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment").withColumn("id", F.col("c_custkey").cast("string")))
+    db.query("UPDATE customer_copy SET c_mktsegment = concat('debt, ', c_mktsegment), c_acctbal = round(c_acctbal, 2) WHERE c_acctbal < 0")
+    return db.types["customer_copy"].select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"), "c_mktsegment")
+
+
+@query("SELECT r_regionkey, r_name FROM region UNION ALL VALUES (98, 'LEMURIA, EAST'), (99, 'ATLANTIS') UNION ALL SELECT r_regionkey + 100, 'NEW ' || r_name FROM region WHERE r_regionkey < 2")
+def d2_insert_sql(spark, sf):
+    db = Database(spark)
+    db.register("region_copy", read(spark, sf, "region").select("r_regionkey", "r_name").withColumn("id", F.col("r_regionkey").cast("string")))
+    db.query("INSERT INTO region_copy (r_regionkey, r_name) VALUES (98, 'LEMURIA, EAST'), (99, 'ATLANTIS')")
+    db.query("INSERT INTO region_copy (r_regionkey, r_name) SELECT r_regionkey + 100, concat('NEW ', r_name) FROM region_copy WHERE r_regionkey < 2")
+    return db.types["region_copy"].select("r_regionkey", "r_name")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' AND o_totalprice > 1000)")
+def d4_delete_sql(spark, sf):
+    db = Database(spark)
+    db.register("orders_copy", read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").withColumn("id", F.col("o_orderkey").cast("string")))
+    db.query("DELETE FROM orders_copy WHERE o_orderstatus = 'F' AND o_totalprice > 1000")
+    return db.types["orders_copy"].select("o_orderkey")
+
+
+@query(_Q.format(_COS) + _TOP.format("x", "1 - x", "WHERE label = 1 OR label BETWEEN 4 AND 6"))
+def v6_vector_filtered_or(spark, sf):
+    q = ", ".join(map(repr, map(float, _first_vector(spark, sf))))
+    db = Database(spark)
+    db.register("embeddings_copy", _vectors(spark, sf))
+    hits = db.query(f"VECTOR SEARCH embeddings_copy FIELD embedding FOR [{q}] WHERE label = 1 OR label BETWEEN 4 AND 6 LIMIT 10")
+    return hits.select("rank", "id", F.round("score", 6).alias("score"), F.round("distance", 6).alias("distance"))
+
+
+@query(_T + """, q AS (SELECT token, n AS times FROM (SELECT token, 1 AS n, count(*) AS df FROM post GROUP BY token ORDER BY df DESC, token LIMIT 3)), n AS (SELECT count(*) AS n FROM documents),
+df AS (SELECT token, count(*) AS df FROM post GROUP BY token),
+s AS (SELECT doc_id, sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * 2.2 * tf / (tf + 1.2)) AS score FROM post JOIN q USING (token) JOIN df USING (token), n GROUP BY doc_id),
+b AS (SELECT CAST(row_number() OVER (ORDER BY round(score, 9) DESC, 'documents:' || doc_id) AS INT) AS rank, doc_id, score FROM s QUALIFY rank <= 5)
+SELECT rank, 'documents:' || doc_id AS id, 'documents' AS type, round(score, 6) AS score, doc_id, lang, source FROM b JOIN documents USING (doc_id)""")
+def t3_fts_stored_index(spark, sf):
+    """The three most frequent tokens, looked up in a stored index."""
+    index = fulltext.StoredIndex(_documents(spark, sf), "text")
+    often = fulltext.document_frequency(index.postings).orderBy(F.desc("df"), "token").limit(3).collect()
+    hits = index.search(" ".join(r["token"] for r in often), 5)
+    return hits.select("rank", "id", "type", F.round("score", 6).alias("score"), "doc_id", "lang", "source")
+
+
+@query("SELECT vec_id, CAST(i - 1 AS INT) AS pos, CAST(round((embedding[i] - list_min(embedding))::DOUBLE / (list_max(embedding) - list_min(embedding))::DOUBLE * 255) AS INT) AS code FROM embeddings, generate_series(1, 64) g(i)")
+def f7_quantized_codes(spark, sf):
+    own = read(spark, sf, "embeddings").select("vec_id", V.quantize(F.col("embedding")).alias("q"))
+    return own.select("vec_id", F.posexplode("q.codes").alias("pos", "code")).select("vec_id", F.col("pos").cast("int").alias("pos"), F.col("code").cast("int").alias("code"))
+
+
+@query("SELECT count(*) AS inside, true AS few_others FROM customer")
+def f19_bloom_rate(spark, sf):
+    """All keys of the table are found, and under 3 % of as many others."""
+    own = read(spark, sf, "customer").select("c_name")
+    n = own.count()
+    made = bloom.build(own, "c_name", max(1, n))
+    probes = own.withColumn("kind", F.lit(0)).union(own.select(F.concat(F.lit("other "), "c_name"), F.lit(1)))
+    found = probes.where(made.has(F.col("c_name"))).agg(F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).alias("inside"), F.sum("kind").alias("others"))
+    return found.select(F.col("inside").cast("long").alias("inside"), (F.col("others") < 0.03 * n + 1).alias("few_others"))
+
+
+def _packed(pieces: str, fits: str, joint: int) -> str:
+    """SQL of greedy packing: pieces (doc_id, i, chars, bytes) in order, joined with ``joint`` characters while ``fits``."""
+    return f"""WITH RECURSIVE {pieces},
+r(doc_id, i, k, c, b) AS (SELECT doc_id, i, 0, chars, bytes FROM pieces WHERE i = 1
+  UNION ALL SELECT p.doc_id, p.i, CASE WHEN {fits} THEN r.k ELSE r.k + 1 END, CASE WHEN {fits} THEN r.c + p.chars + {joint} ELSE p.chars END, CASE WHEN {fits} THEN r.b + p.bytes + {joint} ELSE p.bytes END
+  FROM r JOIN pieces p ON p.doc_id = r.doc_id AND p.i = r.i + 1),
+c AS (SELECT doc_id, k, max(b) AS b FROM r GROUP BY doc_id, k)
+SELECT doc_id || '_' || k AS chunk_id, CAST(count(*) OVER (PARTITION BY doc_id) AS INT) AS total_chunks,
+  CAST(sum(b) OVER (PARTITION BY doc_id ORDER BY k) - b AS BIGINT) AS start_offset, CAST(sum(b) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS end_offset FROM c"""
+
+
+_PIECES = r"split AS (SELECT doc_id, unnest(x) AS p, generate_subscripts(x, 1) AS j FROM (SELECT doc_id, {} AS x FROM documents)), trimmed AS (SELECT doc_id, j, regexp_replace(p, '^\s+|\s+$', '', 'g') AS p FROM split), pieces AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i, length(p) AS chars, strlen(p) AS bytes FROM trimmed WHERE p <> '')"
+
+
+@query(_packed(_PIECES.format(r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"), "(r.c + p.chars) // 4 <= 128", 1))
+def r2_sentences_packed(spark, sf):
+    return r2_chunk_sentences(spark, sf)
+
+
+@query(_packed(_PIECES.format("string_split(text, chr(10) || chr(10))"), "r.b + p.bytes + 2 <= 1000", 2))
+def r3_paragraphs_packed(spark, sf):
+    return r3_chunk_paragraphs(spark, sf)
+
+
+@query("""WITH n AS (SELECT item_id, text, length(text) AS n FROM benchmark WHERE length(text) > 0), s AS (SELECT *, CASE WHEN n <= 512 THEN 0 ELSE ceil((n - 512) / 462.0)::INT END AS last FROM n)
+SELECT item_id || '_' || i AS chunk_id, md5(substr(text, i * 462 + 1, 512)) AS digest, CAST(32 AS INT) AS size, 1.0::DOUBLE AS length FROM (SELECT *, unnest(generate_series(0, last)) AS i FROM s)""")
+def r16_ingested_chunks(spark, sf):
+    made = rag.ingest(read(spark, sf, "benchmark"), rag.HashEmbedder(32), id_col="item_id", text_col="text")
+    length = F.round(F.sqrt(V.dot(F.col("embedding"), F.col("embedding"))), 4)
+    return made.select("chunk_id", F.md5(F.col("content").cast("binary")).alias("digest"), F.size("embedding").alias("size"), length.alias("length"))
+
+
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 400000")
+def x_set_except_rows(spark, sf):
+    return read(spark, sf, "customer").select(F.col("c_custkey").alias("k")).subtract(read(spark, sf, "orders").where("o_totalprice > 400000").select("o_custkey"))
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+def x_set_union(spark, sf):
+    return read(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).union(read(spark, sf, "supplier").select("s_nationkey")).distinct()
+
+
+@query("SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
+def x_set_intersect(spark, sf):
+    return read(spark, sf, "customer").select(F.col("c_custkey").alias("k")).intersect(read(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_custkey"))
+
+
 # Extensions: what Spark SQL gives beside the operators above
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def x_group_aggregate(spark, sf):

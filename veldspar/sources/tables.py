@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,21 +50,71 @@ def untyped(typed: DataFrame) -> DataFrame:
     return typed.select("id", F.col("type").alias("node_type"), F.parse_json(F.to_json(F.struct(*rest))).alias("properties"))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst, edge_type: in_region, in_nation (customers, suppliers), placed, next_turn."""
+def key_of(ref: str, df: DataFrame) -> Column | None:
+    """The condition on the key columns of the typed node table ``df`` that the reference ``type:key`` asks for: it reaches the scan,
+    where a computed id can't. None where the reference or the table doesn't tell; false where the key can't be one."""
+    kind, *values = ref.split(":")
+    names = KEYS.get(kind, ())
+    kinds = dict(df.dtypes)
+    if not names or len(names) != len(values) or not set(names) <= set(kinds):
+        return None
+    found = F.lit(True)
+    for name, value in zip(names, values, strict=True):
+        if kinds[name] == "string":
+            found = found & (F.col(name) == value)
+        elif re.fullmatch(r"-?(0|[1-9][0-9]{0,17})", value):
+            found = found & (F.col(name) == int(value))
+        else:
+            return F.lit(False)
+    return found
+
+
+def keys_in(refs: Sequence[str], kind: str, names: Sequence[str], df: DataFrame) -> Column:
+    """The condition that the key columns ``names`` of ``df`` are those of one of the references of type ``kind``."""
+    values = [r.split(":")[1:] for r in refs if r.split(":")[0] == kind]
+    values = [v for v in values if len(v) == len(names)]
+    kinds = dict(df.dtypes)
+    if not all(kinds[n] == "string" for n in names):
+        values = [[int(x) for x in v] for v in values if all(re.fullmatch(r"-?[0-9]{1,18}", x) for x in v)]
+    if not values:
+        return F.lit(False)
+    if len(names) == 1:
+        return F.col(names[0]).isin(*[v[0] for v in values])
+    found = F.lit(False)
+    for v in values:
+        one = F.lit(True)
+        for n, x in zip(names, v, strict=True):
+            one = one & (F.col(n) == x)
+        found = found | one
+    return found
+
+
+def edges(spark: SparkSession, sf_dir: str, src: Sequence[str] | None = None, dst: Sequence[str] | None = None, types: Sequence[str] | None = None) -> DataFrame:
+    """src, dst, edge_type: in_region, in_nation (customers, suppliers), placed, next_turn.
+
+    ``src``, ``dst`` and ``types`` keep the edges of these ends and types; they become conditions on key columns, and tables
+    that have no such edge aren't read.
+    """
     nation, customer, supplier, orders = (read(spark, sf_dir, t) for t in ("nation", "customer", "supplier", "orders"))
     talk = read(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    talk = talk.alias("a").join(talk.alias("b"), (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("b.turn") == F.col("a.turn") + 1))
+    talk = talk.select("a.conv_id", "a.turn", F.col("b.conv_id").alias("next_conv"), F.col("b.turn").alias("next_turn"))
     made = [
-        nation.select(id_of("nation", "n_nationkey").alias("src"), id_of("region", "n_regionkey").alias("dst"), F.lit("in_region").alias("edge_type")),
-        customer.select(id_of("customer", "c_custkey"), id_of("nation", "c_nationkey"), F.lit("in_nation")),
-        supplier.select(id_of("supplier", "s_suppkey"), id_of("nation", "s_nationkey"), F.lit("in_nation")),
-        orders.select(id_of("customer", "o_custkey"), id_of("orders", "o_orderkey"), F.lit("placed")),
-        talk.alias("a").join(talk.alias("b"), (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("b.turn") == F.col("a.turn") + 1)).select(
-            id_of("conversations", "a.conv_id", "a.turn"), id_of("conversations", "b.conv_id", "b.turn"), F.lit("next_turn")),
+        (nation, "nation", ("n_nationkey",), "region", ("n_regionkey",), "in_region"),
+        (customer, "customer", ("c_custkey",), "nation", ("c_nationkey",), "in_nation"),
+        (supplier, "supplier", ("s_suppkey",), "nation", ("s_nationkey",), "in_nation"),
+        (orders, "customer", ("o_custkey",), "orders", ("o_orderkey",), "placed"),
+        (talk, "conversations", ("conv_id", "turn"), "conversations", ("next_conv", "next_turn"), "next_turn"),
     ]
-    out = made[0]
-    for x in made[1:]:
-        out = out.union(x)
+    out = spark.createDataFrame([], "src string, dst string, edge_type string") if types is not None or src is not None or dst is not None else None
+    for df, src_kind, src_keys, dst_kind, dst_keys, kind in made:
+        if types is not None and kind not in types:
+            continue
+        for refs, end, names in ((src, src_kind, src_keys), (dst, dst_kind, dst_keys)):
+            if refs is not None:
+                df = df.where(keys_in(refs, end, names, df))
+        one = df.select(id_of(src_kind, *src_keys).alias("src"), id_of(dst_kind, *dst_keys).alias("dst"), F.lit(kind).alias("edge_type"))
+        out = one if out is None else out.union(one)
     return out
 
 
@@ -72,3 +125,12 @@ def node_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = nodes(spark, sf_dir, kind).select("id", "type")
         out = one if out is None else out.union(one)
     return out.distinct()
+
+
+def all_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, type of the nodes of every type."""
+    out = None
+    for kind in KEYS:
+        one = nodes(spark, sf_dir, kind).select("id", "type")
+        out = one if out is None else out.union(one)
+    return out.distinct()
