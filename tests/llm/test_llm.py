@@ -1,3 +1,4 @@
+import itertools
 import math
 import re
 import zlib
@@ -9,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from oracle import expected, rows
-from veldspar.llm import katz, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, toxicity, url_filter, vector_search
+from veldspar.llm import common, katz, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, toxicity, url_filter, vector_search
 from veldspar.llm.blobs import put, take
 from veldspar.llm.common import hashed_words, lower_words, remainder
 from veldspar.llm.components import components
@@ -451,7 +452,228 @@ def test_katz_odd_rows(odd):
     assert katz.score(odd.limit(0)).count() == 0
 
 
+# bounds, clashes, rows that share an id
+def test_labelled_sample_is_bounded(docs_of, labels_of):
+    docs = docs_of(*[(1, f"text {i}") for i in range(10_000)], *[(i, f"other {i}") for i in range(2, 40)])
+    rows_ = common.labelled_sample(docs, labels_of(*[(i, i % 2, 0) for i in range(1, 40)], (1, 0, 0)), "quality", 3).collect()
+    assert Counter(r["_y"] for r in rows_) == {0: 3, 1: 3} and len({r["doc_id"] for r in rows_}) == 6
+    one = common.labelled_sample(docs, labels_of((1, 1, 0)), "quality", 1).collect()
+    assert len(one) == (zlib.crc32(b"1") % 5 != 0)
+
+
+def test_spread_join_is_a_join(spark):
+    big = spark.createDataFrame([(0, i) for i in range(60)] + [(k, k) for k in range(1, 30)] + [(None, 1)], "k int, v int")
+    small = spark.createDataFrame([(k, f"n{k}") for k in range(0, 20)], "k int, name string")
+    for how in ("inner", "left"):
+        got = common.spread_join(big, small, ["k"], how, most=4, least=5)
+        assert sorted(map(str, got.collect())) == sorted(map(str, big.join(small, "k", how).collect()))
+
+
+def test_stored_tables_go(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    found = common.store(spark.range(3), "three")
+    assert found.count() == 3 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    common.drop(found, None)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        found.count()
+
+
+def test_two_texts_of_one_id(docs_of):
+    docs = docs_of((0, "a b c d e"), (1, "a b c d e\nx1"), (1, "unique words here now\ny1"), (1, "q q2"), (1, "q q2\nz"))
+    got = Counter(r["text"] for r in line_dedup.without_repeats(docs).collect())
+    assert got == {"a b c d e": 1, "x1": 1, "unique words here now\ny1": 1, "q q2": 1, "z": 1}
+    kept = simhash.keep_first(docs_of((1, "one text that is quite long enough"), (1, "another text of the same id, unlike it"), (2, "one text that is quite long enough")))
+    assert sorted((r["doc_id"], r["text"][:3]) for r in kept.collect()) == [(1, "ano"), (1, "one")]
+
+
+def test_columns_that_clash_with_helpers(odd):
+    names = ("_gone", "_d", "_at", "_r", "_own", "_bits", "_f", "_hash", "_i", "_use", "_h", "_times", "f", "a", "b", "row", "words", "h", "n", "cluster", "tie", "component", "doc", "_y", "_salt", "_range")
+    more = odd.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    for fn in (line_dedup.without_repeats, simhash.keep_first, mixing.blend):
+        out = fn(more)
+        assert out.columns == more.columns
+        plain = Counter((r["doc_id"], r["text"]) for r in fn(odd).collect())
+        assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == plain
+        assert all([r[c] for c in names] == list(range(len(names))) for r in out.collect())
+    for fn in (packing.pack, line_dedup.dedup, simhash.near_duplicates, mixing.mix, katz.score):
+        assert fn(more).count() == fn(odd).count()
+
+
+def test_lines_of_other_thresholds(docs_of):
+    rng = np.random.default_rng(9)
+    docs = [(i, "\n".join(" ".join(f"w{rng.integers(6)}" for _ in range(rng.integers(1, 7))) for _ in range(4))) for i in range(25)]
+    for percent in (50, 66, 75, 90, 100):
+        assert removed_of(line_dedup.dedup(docs_of(*docs), percent)) == brute_removed(docs, percent)
+
+
+def test_packing_does_not_depend_on_partitions(spark, docs_of):
+    rng = np.random.default_rng(10)
+    texts = [" ".join(f"w{rng.integers(300)}" for _ in range(rng.integers(1, 900))) for _ in range(40)]
+    docs = docs_of(*[(i % 35, texts[rng.integers(40)], f"s{i % 3}") for i in range(120)])
+    found = [sorted(tuple(r) for r in packing.pack(docs.repartition(n)).collect()) for n in (1, 3)]
+    assert found[0] == found[1]
+
+
+def test_packing_keeps_its_constraints(spark):
+    sf = "/root/testdata/sf0.01"
+    got = packing.op2_packing(spark, sf).where("bin IS NOT NULL AND bin NOT LIKE 'full-%'")
+    named = simhash.with_component(table(spark, sf, "documents"), "cluster").select("doc_id", "source", "cluster")
+    both = got.join(named, "doc_id")
+    assert both.count() == got.count()
+    assert both.groupBy("bin", "cluster").count().where("count > 1").count() == 0
+    assert both.groupBy("bin", "source").count().where(F.col("count") > packing.PER_SOURCE).count() == 0
+
+
+def test_risk_and_its_slopes_equal_brute_force():
+    rng = np.random.default_rng(11)
+    for shift in (-5.0, 4.0):  # without and with a negative part below 0
+        z, n_p, prior = np.r_[rng.normal(2 + shift, 1, 7), rng.normal(-2, 1, 20)], 7, 0.4
+        loss = lambda x, y: math.log1p(math.exp(-x if y else x))
+        plus = prior * sum(loss(x, 1) for x in z[:n_p]) / n_p
+        minus = sum(loss(x, 0) for x in z[n_p:]) / 20 - prior * sum(loss(x, 0) for x in z[:n_p]) / n_p
+        assert toxicity.risk(z, n_p, prior) == pytest.approx((plus, minus))
+        assert (minus < 0) == (shift > 0)
+        whole = lambda v: sum(toxicity.risk(v, n_p, prior)) if minus >= 0 else -toxicity.risk(v, n_p, prior)[1]
+        for i in range(len(z)):
+            step = np.zeros(len(z))
+            step[i] = 1e-5
+            assert toxicity.slopes(z, n_p, prior)[i] == pytest.approx((whole(z + step) - whole(z - step)) / 2e-5, abs=1e-6)
+
+
+def test_unlabelled_texts_are_drawn_whatever_their_labels(docs_of, labels_of):
+    docs = docs_of(*[(i, f"common words {'grim' if i % 4 == 0 else 'mild'} number{i}") for i in range(400)])
+    labels = [(i, None, 1) for i in range(0, 400, 8)]
+    positive, unlabelled = toxicity.samples(docs, labels_of(*labels), "toxic", 1000, 1 << 14, 512)
+    again = toxicity.samples(docs, labels_of(*labels, *[(i, None, 0) for i in range(1, 400, 3)]), "toxic", 1000, 1 << 14, 512)
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    assert len(positive) == sum(i % 8 == 0 for i in train) and len(unlabelled) == len(train)
+    assert [sorted(map(bytes, x)) for x in again] == [sorted(map(bytes, x)) for x in (positive, unlabelled)]
+    assert len(toxicity.samples(docs, labels_of(*labels), "toxic", 20, 1 << 14, 512)[1]) == 40
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, labels_of(*labels)).collect()}  # positives only
+    assert np.mean([got[i] == (i % 4 == 0) for i in got]) > 0.9
+
+
+def test_mined_rules_are_those_of_a_brute_force_miner(spark):
+    rng = np.random.default_rng(12)
+    rows_ = [({t for t in "abcdef" if rng.random() < 0.5} | {"all"} | ({"g", "h"} if rng.random() < 0.3 else set()), None) for _ in range(200)]
+    rows_ = [(sorted(t), ("a" in t and "b" in t) or rng.random() < 0.1) for t, _ in rows_]
+    marked = spark.createDataFrame([(t, bool(b)) for t, b in rows_], "tokens array<string>, bad boolean")
+    rules, members = url_filter.mine(marked, 0.01, 0.7, 5)
+    of = defaultdict(set)
+    for r in members.collect():
+        of[r["class"]].add(r["token"])
+    got = {frozenset(r["classes"]): r["confidence"] for r in rules.collect()}
+    names = sorted({t for t, _ in rows_ for t in t} - {"all", "h"})  # one of those that always come together, none of all rows
+    want = {}
+    for size in range(1, len(names) + 1):
+        for chosen in itertools.combinations(names, size):
+            hit = [b for t, b in rows_ if set(chosen) <= set(t)]
+            if sum(hit) >= 5 and sum(hit) / len(hit) >= 0.7:
+                want[frozenset(chosen)] = pytest.approx(sum(hit) / len(hit))
+    assert got == want and len(want) > 3 and of["g"] == {"g", "h"}
+    deep = spark.createDataFrame([([f"t{i}" for i in range(20)], True)] * 40 + [(["x"], False)] * 40, "tokens array<string>, bad boolean")
+    assert [r["n"] for r in url_filter.mine(deep)[0].collect()] == [1]
+
+
+def test_url_filter_odd_rows(spark, labels_of):
+    pages = spark.createDataFrame([(1, None), (1, None), (None, "http://a.org/" + "x/" * 3000), (2, ""), (3, "http://b.net/x"), (3, "http://b.net/x")], "page_id long, url string")
+    got = url_filter.judge(clashing(pages), labels_of((1, 0, 1), (3, 0, 0), (None, 0, 0)))
+    assert Counter(r["page_id"] for r in got.collect()) == {1: 2, None: 1, 2: 1, 3: 2}
+    assert url_filter.judge(pages.limit(0), labels_of()).count() == 0
+
+
+def test_long_texts_repeat_as_short_ones():
+    rng = np.random.default_rng(13)
+    for n in (3, 6, 50, 3000):
+        found = [f"w{x}".encode() for x in rng.integers(0, max(2, n // 8), n)]
+        windows = [tuple(found[i : i + 5]) for i in range(len(found) - 4)]
+        often = Counter(windows)
+        assert quality_rules.repeated_words(found) == len({j for i, x in enumerate(windows) if often[x] > 1 for j in range(i, i + 5)})
+
+
+def test_flat_trees_equal_nested_ones():
+    rng = np.random.default_rng(14)
+    x = rng.random((300, 3))
+    made = quality_rules.grow(x, (x[:, 0] + x[:, 1] > 1).astype(float), [0, 0, 0], trees=7)
+
+    def one(row):
+        total = made.base
+        for feature, cut, leaf in zip(made.feature, made.cut, made.leaf, strict=True):
+            at = 0
+            while at < len(feature):
+                at = 2 * at + (2 if row[feature[at]] > cut[at] else 1)
+            total += leaf[at - len(feature)]
+        return 1 / (1 + math.exp(-total))
+
+    assert np.allclose(made.score(x), [one(r) for r in x])
+
+
+def test_katz_without_training_rows(docs_of):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
+    got = katz.score(docs_of(*[(i, "some words") for i in ids])).collect()
+    assert len(got) == 3 and {r["train_tokens"] for r in got} == {0} and all(r["n_known"] == 0 and math.isfinite(r["score"]) for r in got)
+
+
+def test_repeated_ids_of_vectors(spark):
+    df = spark.createDataFrame([(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 0.1]), (1, [0.1, 1.0])], "vec_id long, embedding array<float>")
+    found = [sorted(tuple(r) for r in vector_search.search(clashing(df.repartition(n)), df.repartition(n).where("vec_id = 50"), 5).collect()) for n in (1, 3)]
+    assert found[0] == found[1] and [r[2] for r in found[0]] == [1, 1]
+
+
 # pipeline
+def test_pipeline_equals_brute_force(spark, docs_of, labels_of, tmp_path):
+    """All rows of run() on a small fixture: kept documents, their lines, one of each group, how often each is used, and bins that hold them."""
+    import corpus_pipeline as p
+
+    texts = {r["doc_id"]: (r["text"], r["source"]) for r in table(spark, "/root/testdata/sf0.001", "documents").orderBy("doc_id").limit(120).collect()}
+    docs = docs_of(*[(i, t, s) for i, (t, s) in texts.items()], (None, "no id but many words of its own that nobody else in here ever says at all", "s"), (5000, None), (5001, ""), (7, texts[7][0] if 7 in texts else "x", "again"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    table(spark, "/root/testdata/sf0.001", "labels").write.parquet(str(tmp_path / "labels.parquet"))
+    got = p.run(spark, str(tmp_path)).collect()
+    kept = [r for r in quality_rules.judge(docs.select("doc_id", "text", "source"), table(spark, str(tmp_path), "labels")).where("kept").collect()]
+    rows_ = sorted(((r["doc_id"], t, s) for r in kept for i, t, s in [next((i, t, s) for i, t, s in _rows_of(docs) if i == r["doc_id"] and s == r["source"])]), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    named = [x for x in rows_ if x[0] is not None]
+    at, numbered = {}, []
+    for i, t, s in named:  # lines of one id count on from row to row
+        numbered.append((i, t, s, at.get(i, 0)))
+        at[i] = at.get(i, 0) + len(t.split("\n"))
+    whole = defaultdict(list)
+    for i, t, _, _ in numbered:
+        whole[i].append(t)
+    gone = brute_removed([(i, "\n".join(x)) for i, x in whole.items()])
+    cut = [(i, "\n".join(x for j, x in enumerate(t.split("\n")) if (i, j + a) not in gone), s) for i, t, s, a in numbered]
+    group = brute_groups({k: t for k, (_, t, _) in enumerate(cut)})
+    left = [x for k, x in enumerate(cut) if group[k] == k] + [x for x in rows_ if x[0] is None]
+    plan = mixing.mix(docs_of(*left)).collect()  # the mix itself is held to SQL
+    want = Counter({r["doc_id"]: 0 for r in plan})
+    for r in plan:
+        want[r["doc_id"]] += r["size"] * r["times"]
+    words = Counter()
+    for r in got:
+        words[r["doc_id"]] += r["size"]
+    assert {i: n for i, n in words.items() if n} == {i: n for i, n in want.items() if n}
+    use = defaultdict(list)
+    for r in got:
+        if r["bin"] is not None:
+            use[r["bin"]].append((r["offset"], r["size"]))
+    for pieces in use.values():  # no bin overflows, no pieces overlap
+        assert all(a + n == b for (a, n), (b, _) in itertools.pairwise(sorted(pieces))) and sum(n for _, n in pieces) <= packing.CAPACITY
+
+
+def _rows_of(docs):
+    return [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+
+
+def test_pipeline_on_odd_rows(spark, odd, labels_of, tmp_path):
+    import corpus_pipeline as p
+
+    for name, docs in (("odd", odd), ("empty", odd.limit(0))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels_of((1, 1, 0), (4, 0, 1), (None, 1, 1)).write.parquet(str(tmp_path / name / "labels.parquet"))
+        assert p.run(spark, str(tmp_path / name)).columns == ["doc_id", "piece", "size", "bin", "offset"]
+        p.run(spark, str(tmp_path / name)).collect()
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline as p
 

@@ -91,8 +91,8 @@ def mine(marked: DataFrame, support: float = 0.001, confidence: float = 0.8, lea
     members = store(often.select(F.min("token").over(same).alias("class"), "token", "n", "n_bad"), "classes")
     names = members.where((F.col("token") == F.col("class")) & (F.col("n") < total)).select("token")
     small = members.count() <= BROADCAST_RULES
-    chosen = pairs.select("b", "token").join(F.broadcast(names), "token") if small else spread_join(store(pairs.select("b", "token"), "tokens"), names, ["token"])
-    items = chosen.groupBy("b").agg(F.collect_list("token").alias("items")).join(rows.select("b", "bad"), "b")
+    chosen = pairs.join(F.broadcast(names), "token") if small else spread_join(store(pairs, "tokens"), names, ["token"])
+    items = chosen.groupBy("b", "bad").agg(F.collect_list("token").alias("items"))
     items = store(items.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")), "items")
     whole = members.where((F.col("token") == F.col("class")) & (F.col("n") == total))
     found = whole.select(F.array("class").alias("classes"), F.col("n").alias("freq"), F.col("n_bad").alias("both"))
