@@ -216,17 +216,17 @@ _E = """WITH RECURSIVE e(src, dst, kind) AS (
 
 @query(_E + "r(id, depth) AS (SELECT 'customer:1', 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.id WHERE r.depth < 2) SELECT id, min(depth) AS depth FROM r GROUP BY id")
 def g1_bfs_depth2(spark, sf):
-    return graph.traverse(spark, node_ids(spark, sf), edges(spark, sf), ["customer:1"], 2, edges_from=_out(spark, sf)).nodes
+    return graph.traverse(spark, node_ids(spark, sf, False), edges(spark, sf), ["customer:1"], 2, edges_from=_out(spark, sf)).nodes
 
 
 @query(_E + "r(id, depth) AS (SELECT 'customer:1', 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.id WHERE r.depth < 3 AND e.kind <> 'placed'), d AS (SELECT id, min(depth) AS depth FROM r GROUP BY id) SELECT e.src, e.dst, e.kind AS edge_type FROM e JOIN d ON d.id = e.src WHERE d.depth < 3 AND e.kind <> 'placed'")
 def g7_bfs_edge_filter(spark, sf):
-    return graph.traverse(spark, node_ids(spark, sf), edges(spark, sf), ["customer:1"], 3, ["in_nation", "in_region"], edges_from=_out(spark, sf)).edges.select("src", "dst", "edge_type")
+    return graph.traverse(spark, node_ids(spark, sf, False), edges(spark, sf), ["customer:1"], 3, ["in_nation", "in_region"], edges_from=_out(spark, sf)).edges.select("src", "dst", "edge_type")
 
 
 @query(_E + "r(id, depth) AS (SELECT * FROM (VALUES ('customer:1', 0), ('customer:2', 0)) UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.id WHERE r.depth < 2) SELECT id, min(depth) AS depth FROM r GROUP BY id")
 def g4_multi_source_bfs(spark, sf):
-    return graph.traverse(spark, node_ids(spark, sf), edges(spark, sf), ["customer:1", "customer:2"], 2, edges_from=_out(spark, sf)).nodes
+    return graph.traverse(spark, node_ids(spark, sf, False), edges(spark, sf), ["customer:1", "customer:2"], 2, edges_from=_out(spark, sf)).nodes
 
 
 @query("SELECT 'customer:1>nation:' || c_nationkey || '>region:' || n_regionkey AS path FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 1")

@@ -118,13 +118,13 @@ def edges(spark: SparkSession, sf_dir: str, src: Sequence[str] | None = None, ds
     return out
 
 
-def node_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, type of every node that the edges can touch."""
+def node_ids(spark: SparkSession, sf_dir: str, once: bool = True) -> DataFrame:
+    """id, type of every node that the edges can touch; without ``once`` a node may come several times, and nothing is shuffled."""
     out = None
     for kind in ("region", "nation", "customer", "supplier", "orders", "conversations"):
         one = nodes(spark, sf_dir, kind).select("id", "type")
         out = one if out is None else out.union(one)
-    return out.distinct()
+    return out.distinct() if once else out
 
 
 def all_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
