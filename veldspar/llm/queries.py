@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veldspar.llm import parts
 from veldspar.llm.katz import op10_katz
 from veldspar.llm.line_dedup import op4_line_dedup
 from veldspar.llm.mixing import OP8_SQL, op8_mixing
@@ -23,5 +24,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_quality_classifier, op2_packing, op3_simhash, op4_line_dedup, op5_url_filter,
         op6_toxicity, op7_vector_search, op8_mixing, op9_quality_rules, op10_katz,
     )
-}
-SQL = {"op8_mixing": OP8_SQL}
+} | parts.QUERIES
+SQL = {"op8_mixing": OP8_SQL} | parts.SQL
